@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.corpus_encode import encode_corpus, tokenizer_path
+from lodestone.llm.garbled import find_garbled, fit_on
 from lodestone.llm.packing import pack
 from lodestone.session import read_table
 
@@ -15,6 +16,24 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 CAPACITY = 2048
 
 
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tbl, row_key, content`` of files and chunks."""
+    files = read_table(spark, sf_dir, "files").select(F.lit("files").alias("tbl"), F.col("file_id").alias("row_key"), "content")
+    chunks = read_table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("row_key"), "content")
+    return files.unionByName(chunks)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_on(read_table(spark, sf_dir, "files"), "file_id", "content")
+    return find_garbled(_contents(spark, sf_dir), model, ["tbl", "row_key"], "content").select("tbl", "row_key").distinct()
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled rows with every line set right that can be."""
+    model = fit_on(read_table(spark, sf_dir, "files"), "file_id", "content")
+    return find_garbled(_contents(spark, sf_dir), model, ["tbl", "row_key"], "content", restored=True).dropDuplicates(["tbl", "row_key"])
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_corpus(docs, tokenizer_path(VOCABULARY))
@@ -26,7 +45,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p5_found": p5_found, "p5_restored": p5_restored, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 
 def oracle_sql() -> dict[str, str]:
