@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.corpus_encode import encode_corpus, tokenizer_path
+from lodestone.llm.credentials import find_credentials
 from lodestone.llm.garbled import find_garbled, fit_on
 from lodestone.llm.packing import pack
 from lodestone.session import read_table
@@ -34,6 +35,15 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_garbled(_contents(spark, sf_dir), model, ["tbl", "row_key"], "content", restored=True).dropDuplicates(["tbl", "row_key"])
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_credentials(_contents(spark, sf_dir), ["tbl", "row_key"], "content").distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that held credentials, with these replaced."""
+    return find_credentials(_contents(spark, sf_dir), ["tbl", "row_key"], "content", redacted=True).dropDuplicates(["tbl", "row_key"])
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_corpus(docs, tokenizer_path(VOCABULARY))
@@ -45,7 +55,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_restored": p5_restored, "p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 
 def oracle_sql() -> dict[str, str]:
