@@ -11,6 +11,7 @@ from lodestone.llm.corpus_encode import encode_corpus, tokenizer_path
 from lodestone.llm.credentials import find_credentials
 from lodestone.llm.garbled import find_garbled, fit_on
 from lodestone.llm.packing import pack
+from lodestone.llm.stuffed_pages import find_stuffed
 from lodestone.session import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -54,8 +55,12 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, CAPACITY, "doc_id", "n_tokens")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_stuffed(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
