@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,6 +65,7 @@ _OFFER = re.compile(r"\b\d{1,4}[.,]\d\d\b.{0,40}(?:in stock|new|tags?|sale|free|
 _TAG_HEAD = re.compile(r"^\s*(?:\W{0,3})(?:tags?|keywords?|labels?|related|categories|topics|метки|теги|ключевые слова|schlagw\w+|mots[ -]cl\w+|palavras[ -]chave|etiquetas|标签|关键词)\W{0,4}\s*[::]", re.I)
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]{1,2}|[^\W_]+(?:['’\-_][^\W_]+)*")
 _HASHTAG = re.compile(r"(?<!\S)#\w[\w\-]*")
+_SENTENCES = re.compile(r"(?<=[.!?。])\s*")
 _BREAK = re.compile(r"\r\n|[\n\r\u2028\u2029]")
 _SPACE = re.compile(r"[\s\u00a0\u200b\ufeff]+")
 
@@ -86,7 +88,7 @@ def observe(line: str) -> tuple[int, int] | None:
     ended = flat[-1] in ".!?。!?…:" or bool(_END.search(flat))
     linked = _LINKISH.search(flat) and (_LINK_MARKUP.search(flat) or _URL.search(flat))
     if not linked and ended and flat[0].isalpha() and flat.count(",") + flat.count(";") < 3 and line[0] == flat[0] and n >= 4 and not _TECH.match(flat):
-        if n >= 16 and _repeats(own) >= 0.5:
+        if n >= 16 and _repeats(own) >= 0.3 and _insists(flat):
             return _CODE["stuffed"], n
         return _CODE["sentence"], n
     if _TECH.match(line) or _TECH.match(flat) or _TOC.search(flat):
@@ -111,7 +113,7 @@ def observe(line: str) -> tuple[int, int] | None:
                 return _CODE["phrases"], n
     if n >= 2 and _CHANGE.match(flat):
         return _CODE["technical"], n
-    if n >= 16 and _repeats(own) >= (0.5 if ended else 0.25):
+    if n >= 16 and _repeats(own) >= 0.25 and (not ended or _insists(flat)):
         return _CODE["stuffed"], n
     if not ended and _TECH_IN.search(line):
         return _CODE["technical"], n
@@ -127,6 +129,34 @@ def _repeats(own: list[str]) -> float:
     return 1 - len(set(pairs)) / len(pairs)
 
 
+def _insists(flat: str) -> bool:
+    """Whether a line repeats word pairs beyond saying one sentence again with other nouns."""
+    kept: list[list[str]] = []
+    for part in _SENTENCES.split(flat):
+        own = [w.lower() for w in words(part)]
+        if own and not any(_same_form(k, own) for k in kept):
+            kept.append(own)
+    low = [w for k in kept for w in k]
+    pairs = Counter(zip(low, low[1:]))
+    total = pairs.total()
+    if total < 8:
+        return False
+    again = 1 - len(pairs) / total
+    if again >= 0.15 and max(pairs.values()) >= 3:
+        return True
+    top = max(Counter(w for w in low if len(w) >= 5).values(), default=0)
+    return (again >= 0.1 or top >= 3 and len(low) <= 60) and _repeats(words(flat)) >= 0.5
+
+
+def _same_form(a: list[str], b: list[str]) -> bool:
+    if abs(len(a) - len(b)) > 1 or len(b) < 2:
+        return False
+    same = sum(x == y for x, y in zip(a, b))
+    if len(a) != len(b):
+        same += sum(x == y for x, y in zip(reversed(a), reversed(b)))
+    return same >= 0.5 * len(b)
+
+
 _LOG_E = [[math.log(p) for p in row] for row in EMISSION]
 _LOG_STAY, _LOG_MOVE = math.log(STAY), math.log((1 - STAY) / (len(STATES) - 1))
 
