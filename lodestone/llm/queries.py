@@ -11,6 +11,7 @@ from lodestone.llm.corpus_encode import encode_corpus, tokenizer_path
 from lodestone.llm.credentials import find_credentials
 from lodestone.llm.garbled import find_garbled, fit_on
 from lodestone.llm.packing import pack
+from lodestone.llm.splitting import oversized_lines, split_items
 from lodestone.llm.stuffed_pages import find_stuffed
 from lodestone.session import read_table
 
@@ -25,6 +26,19 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(chunks)
 
 
+def _pieces(spark: SparkSession, sf_dir: str, contents: bool) -> DataFrame:
+    files = read_table(spark, sf_dir, "files").select("file_id", "content", "language")
+    return split_items(files, read_table(spark, sf_dir, "split_limits"), contents=contents)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oversized_lines(_pieces(spark, sf_dir, contents=False))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir, contents=True).dropDuplicates(["file_id", "piece"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_on(read_table(spark, sf_dir, "files"), "file_id", "content")
     return find_garbled(_contents(spark, sf_dir), model, ["tbl", "row_key"], "content").select("tbl", "row_key").distinct()
@@ -60,8 +74,27 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+
+
+#: Lines above their file's limit; a file above it without such a line gets line 0.
+P2_SQL = """
+WITH f AS (SELECT DISTINCT file_id, content, lower(language) AS language FROM files),
+sized AS (
+  SELECT file_id, content, coalesce(l.max_bytes, (SELECT max_bytes FROM split_limits WHERE language = 'default')) AS most
+  FROM f LEFT JOIN split_limits l ON l.language = f.language
+),
+over AS (SELECT * FROM sized WHERE strlen(content) > most),
+lines AS (
+  SELECT file_id, most, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n
+  FROM over
+)
+SELECT file_id, CAST(n AS INTEGER) AS line_no FROM lines WHERE strlen(line) > most
+UNION
+SELECT file_id, CAST(0 AS INTEGER) AS line_no FROM over
+WHERE file_id NOT IN (SELECT file_id FROM lines WHERE strlen(line) > most)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_SQL}
