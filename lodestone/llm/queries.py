@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.corpus_encode import encode_corpus, tokenizer_path
 from lodestone.llm.credentials import find_credentials
 from lodestone.llm.garbled import find_garbled, fit_on
+from lodestone.llm.neighbours import nearest, similar_pairs
 from lodestone.llm.packing import pack
 from lodestone.llm.splitting import oversized_lines, split_items
 from lodestone.llm.stuffed_pages import find_stuffed
@@ -39,6 +40,11 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, contents=True).dropDuplicates(["file_id", "piece"])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest(read_table(spark, sf_dir, "vectors"), k=10, least=0.80, dims=96)
+    return similar_pairs(found).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_on(read_table(spark, sf_dir, "files"), "file_id", "content")
     return find_garbled(_contents(spark, sf_dir), model, ["tbl", "row_key"], "content").select("tbl", "row_key").distinct()
@@ -74,7 +80,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 #: Lines above their file's limit; a file above it without such a line gets line 0.
