@@ -12,6 +12,7 @@ from lodestone.llm.credentials import find_credentials
 from lodestone.llm.garbled import find_garbled, fit_on
 from lodestone.llm.neighbours import nearest, similar_pairs
 from lodestone.llm.packing import pack
+from lodestone.llm.provenance import classify
 from lodestone.llm.splitting import oversized_lines, split_items
 from lodestone.llm.stuffed_pages import find_stuffed
 from lodestone.session import read_table
@@ -45,6 +46,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(found).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def p4_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with the kinds of evidence against it (bits; 0: hand-written) and its family."""
+    return classify(read_table(spark, sf_dir, "files").select("file_id", "path", "content"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_origins(spark, sf_dir).where("kinds > 0").select("file_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_on(read_table(spark, sf_dir, "files"), "file_id", "content")
     return find_garbled(_contents(spark, sf_dir), model, ["tbl", "row_key"], "content").select("tbl", "row_key").distinct()
@@ -80,7 +90,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_origins": p4_origins, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 #: Lines above their file's limit; a file above it without such a line gets line 0.
