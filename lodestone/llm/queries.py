@@ -15,6 +15,7 @@ from lodestone.llm.packing import pack
 from lodestone.llm.provenance import classify
 from lodestone.llm.splitting import oversized_lines, split_items
 from lodestone.llm.stuffed_pages import find_stuffed
+from lodestone.llm.syntax_repair import rates, repairs
 from lodestone.session import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -28,6 +29,19 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(chunks)
 
 
+def _repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repairs(read_table(spark, sf_dir, "files").select("file_id", "path", "content", "language"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repairs(spark, sf_dir).where("cost > 0").select("file_id").distinct()
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and files that don't parse, per repository and language."""
+    return rates(_repairs(spark, sf_dir))
+
+
 def _pieces(spark: SparkSession, sf_dir: str, contents: bool) -> DataFrame:
     files = read_table(spark, sf_dir, "files").select("file_id", "content", "language")
     return split_items(files, read_table(spark, sf_dir, "split_limits"), contents=contents)
@@ -90,7 +104,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_origins": p4_origins, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_origins": p4_origins, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 #: Lines above their file's limit; a file above it without such a line gets line 0.
@@ -113,4 +127,4 @@ WHERE file_id NOT IN (SELECT file_id FROM lines WHERE strlen(line) > most)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL}
+    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": P2_SQL}
