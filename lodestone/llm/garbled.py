@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that the classifier is fitted on at most (documented bound; the least by hash).
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 8000
 #: Hash buckets of the bigram features, and smoothing.
 BUCKETS, ALPHA = 1 << 14, 0.05
 SOUND, LOST = "sound", "lost"
@@ -252,13 +252,18 @@ def _memo(model: Classifier) -> Callable[[str], str]:
 
 
 def fit_on(texts: DataFrame, key: str, text: str) -> Classifier:
-    """Fit on the stretches of the SAMPLE_ROWS rows with the least key hashes."""
+    """Fit on the stretches of the SAMPLE_ROWS rows with the least key hashes.
+
+    The bound on the hash is found from the keys alone, so texts of rows
+    outside the sample never leave their scan.
+    """
+    h = F.xxhash64(key)
+    least = texts.select(h.alias("h")).orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    if least is None:
+        return Classifier.fit_cleaned({})
     rows = (
-        texts.where(F.col(text).rlike(r"[^\x00-\x7f]"))
-        .select(F.xxhash64(key).alias("h"), F.col(text).alias("text"))
-        .orderBy("h", "text")
-        .limit(SAMPLE_ROWS)
-        .select(F.explode(F.split("text", "\n")).alias("line"))
+        texts.where((h <= least) & F.col(text).rlike(r"[^\x00-\x7f]"))
+        .select(F.explode(F.split(text, "\n")).alias("line"))
         .where(F.col("line").rlike(r"[^\x00-\x7f]"))
         .select(F.substring("line", 1, 400).alias("line"))
     )
