@@ -128,7 +128,8 @@ def decode_corpus(encoded: DataFrame, vocabulary: str, key: str = "doc_id", ids:
     with open(vocabulary, "rb") as f:
         table = [(int(b), bytearray(base64.b64decode(a))) for a, b in map(bytes.split, f)]
     tokens = spark.createDataFrame(table, "id int, bytes binary")
-    rows = encoded.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("r"), F.posexplode_outer(ids).alias("p", "id"))
+    numbered = encoded.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("r"), F.col(ids).alias("own"))
+    rows = numbered.select("key", "r", F.posexplode_outer("own").alias("p", "id"))
     return (
         rows.join(F.broadcast(tokens), "id", "left")
         .groupBy("r", "key")

@@ -98,6 +98,8 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int,
     lines = text.split("\n")
     if lines[-1] == "":
         lines.pop()
+    if not lines:
+        return []
     sizes = [len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in lines]
     ends = np.cumsum(np.array(sizes, dtype=np.int64) + 1)  # bytes up to and with each line's break
     score = depths(lines)
