@@ -16,7 +16,7 @@ from lodestone.llm.provenance import classify
 from lodestone.llm.splitting import oversized_lines, split_items
 from lodestone.llm.stuffed_pages import find_stuffed
 from lodestone.llm.syntax_repair import rates, repairs
-from lodestone.session import read_table
+from lodestone.session import read_table, spread
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CAPACITY = 2048
@@ -26,11 +26,11 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``tbl, row_key, content`` of files and chunks."""
     files = read_table(spark, sf_dir, "files").select(F.lit("files").alias("tbl"), F.col("file_id").alias("row_key"), "content")
     chunks = read_table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("row_key"), "content")
-    return files.unionByName(chunks)
+    return spread(files.unionByName(chunks))
 
 
 def _repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repairs(read_table(spark, sf_dir, "files").select("file_id", "path", "content", "language"))
+    return repairs(spread(read_table(spark, sf_dir, "files").select("file_id", "path", "content", "language")))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, sf_dir: str, contents: bool) -> DataFrame:
-    files = read_table(spark, sf_dir, "files").select("file_id", "content", "language")
+    files = spread(read_table(spark, sf_dir, "files").select("file_id", "content", "language"))
     return split_items(files, read_table(spark, sf_dir, "split_limits"), contents=contents)
 
 
@@ -62,7 +62,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file with the kinds of evidence against it (bits; 0: hand-written) and its family."""
-    return classify(read_table(spark, sf_dir, "files").select("file_id", "path", "content"))
+    return classify(spread(read_table(spark, sf_dir, "files").select("file_id", "path", "content")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return encode_corpus(docs, tokenizer_path(VOCABULARY))
 
 
@@ -100,7 +100,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_stuffed(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return find_stuffed(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -127,4 +127,4 @@ WHERE file_id NOT IN (SELECT file_id FROM lines WHERE strlen(line) > most)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": P2_SQL}
+    return {"p2_found": P2_SQL}
