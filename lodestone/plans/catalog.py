@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from lodestone.functions import render, text
 from lodestone.functions.stemmer import stemmed
 from lodestone.operators import chunking, index, maintain, search, structural, vectors
-from lodestone.session import read_table
+from lodestone.session import materialize, read_table, spread
 from lodestone.sources import embeddings, scan
 from lodestone.streaming import watch
 
@@ -30,7 +30,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "chunks").dropDuplicates(["chunk_id"])
+    return spread(read_table(spark, d, "chunks")).dropDuplicates(["chunk_id"])
 
 
 def vecs(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,7 @@ def vecs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents")
+    return spread(read_table(spark, d, "documents"))
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -49,10 +49,6 @@ def _posts(spark: SparkSession, d: str) -> DataFrame:
     return index.postings(chunks(spark, d))
 
 
-def _measured(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).withColumn("dl", F.size(text.tokens(F.col("content"))))
-
-
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     """The stored files as a later scan might see them: some moved in time, some in content, some gone."""
     own = files(spark, d)
@@ -130,8 +126,20 @@ def structural_chunks(s, d):
     return structural.structural_chunks(files(s, d))
 
 
-def _candidates(s, d):
-    return search.candidates(_posts(s, d), _measured(s, d), files(s, d), list(TERMS))
+class _Index:
+    """Postings written once, sorted by term, as a stored index has them; both sides of a search read these."""
+
+    def __init__(self, s, d):
+        self.chunks, self.files = chunks(s, d), files(s, d)
+        self.posts = materialize(_posts(s, d).sortWithinPartitions("term"), "postings")
+        lengths = self.posts.groupBy("chunk_id").agg(F.sum("raw_freq").cast("int").alias("dl"))
+        self.measured = self.chunks.join(lengths, "chunk_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
+
+    def candidates(self):
+        return search.candidates(self.posts, self.measured, self.files, list(TERMS))
+
+    def weights(self):
+        return search.query_idf(self.posts, self.chunks, list(TERMS))
 
 
 def _shape(df):
@@ -139,31 +147,31 @@ def _shape(df):
 
 
 def search_candidates(s, d):
-    return _candidates(s, d).select("chunk_id", "term", "raw_freq", "path", "start_line", "end_line", F.col("dl").alias("token_count"))
-
-
-def _weights(s, d):
-    return search.query_idf(_posts(s, d), chunks(s, d), list(TERMS))
+    return _Index(s, d).candidates().select("chunk_id", "term", "raw_freq", "path", "start_line", "end_line", F.col("dl").alias("token_count"))
 
 
 def bm25_memory(s, d):
     """Mean length over the whole corpus."""
-    avgdl = _measured(s, d).agg(F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    return _shape(search.bm25(_candidates(s, d), _weights(s, d), list(TERMS), LIMIT, avgdl))
+    ix = _Index(s, d)
+    avgdl = ix.measured.agg(F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    return _shape(search.bm25(ix.candidates(), ix.weights(), list(TERMS), LIMIT, avgdl))
 
 
 def bm25_storage(s, d):
     """Mean length over the candidates."""
-    return _shape(search.bm25(_candidates(s, d), _weights(s, d), list(TERMS), LIMIT))
+    ix = _Index(s, d)
+    return _shape(search.bm25(ix.candidates(), ix.weights(), list(TERMS), LIMIT))
 
 
 def bm25_filtered(s, d):
-    own = _candidates(s, d).where(search.path_matches(F.col("path"), **FILTER))
-    return _shape(search.bm25(own, _weights(s, d), list(TERMS), LIMIT))
+    ix = _Index(s, d)
+    own = ix.candidates().where(search.path_matches(F.col("path"), **FILTER))
+    return _shape(search.bm25(own, ix.weights(), list(TERMS), LIMIT))
 
 
 def matched_terms(s, d):
-    return search.bm25(_candidates(s, d), _weights(s, d), list(TERMS), None).select("chunk_id", F.array_join("matched_terms", " ").alias("matched_terms"))
+    ix = _Index(s, d)
+    return search.bm25(ix.candidates(), ix.weights(), list(TERMS), None).select("chunk_id", F.array_join("matched_terms", " ").alias("matched_terms"))
 
 
 def query_idf(s, d):
@@ -283,7 +291,8 @@ def vector_rr(s, d):
 
 
 def _ranked(s, d):
-    return search.bm25(_candidates(s, d), _weights(s, d), list(TERMS), 2 * LIMIT)
+    ix = _Index(s, d)
+    return search.bm25(ix.candidates(), ix.weights(), list(TERMS), 2 * LIMIT)
 
 
 def hybrid_fusion(s, d):
@@ -327,7 +336,8 @@ def apply_events(s, d):
 
 
 def _result(s, d):
-    top = search.bm25(_candidates(s, d), _weights(s, d), list(TERMS), LIMIT)
+    ix = _Index(s, d)
+    top = search.bm25(ix.candidates(), ix.weights(), list(TERMS), LIMIT)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
 
 
