@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 #: Shortest term in bytes (fixed value).
 LEAST_BYTES = 2
-_SEGMENT = r"([\p{L}\p{N}_]+)"
-_ASCII = r"^[A-Za-z0-9_]+$"
-_CAMEL = r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|_+)"
+#: A segment with a letter or digit outside ASCII stays whole; others are cut at humps, digits and underscores.
+_TERM = (
+    r"(?<![\p{L}\p{N}_])[A-Za-z0-9_]*+[\p{L}\p{N}&&[^\x00-\x7f]][\p{L}\p{N}_]*+"
+    r"|[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|_+"
+)
 
 
 def lower(c: Column) -> Column:
@@ -17,19 +19,14 @@ def lower(c: Column) -> Column:
     return F.lower(F.translate(c, "İΣ", "iσ"))
 
 
-def segments(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_SEGMENT), F.lit(1))
-
-
-def split_identifier(segment: Column) -> Column:
-    """An ASCII identifier at its humps, digits and underscores; other scripts stay whole."""
-    return F.when(segment.rlike(_ASCII), F.regexp_extract_all(segment, F.lit(_CAMEL), F.lit(1))).otherwise(F.array(segment))
-
-
 def tokens(text: Column) -> Column:
-    """Terms of a text in order; null and empty text have none."""
-    parts = F.flatten(F.transform(segments(F.coalesce(text, F.lit(""))), split_identifier))
-    return F.filter(F.transform(parts, lower), lambda t: F.octet_length(t) >= LEAST_BYTES)
+    """Terms of a text in order; null and empty text have none.
+
+    One pattern over the whole text, one lower-casing of the joined terms (they
+    hold no spaces), so nothing but the length filter runs per term.
+    """
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TERM), F.lit(0))
+    return F.filter(F.split(lower(F.array_join(parts, " ")), " "), lambda t: F.octet_length(t) >= LEAST_BYTES)
 
 
 def query_terms(text: Column) -> Column:

@@ -92,13 +92,18 @@ def idf_all(s, d):
     return index.idf(_posts(s, d), chunks(s, d)).select("term", F.round("idf", 6).alias("idf"))
 
 
+def _written_posts(s, d):
+    """Postings that several branches of a plan read: written once, not computed for each."""
+    return materialize(_posts(s, d), "postings")
+
+
 def tfidf_vectors(s, d):
-    return index.weighted(_posts(s, d), chunks(s, d)).select("chunk_id", "term", "raw_freq", F.round("tf", 6).alias("tf"), F.round("tfidf", 6).alias("tfidf"))
+    return index.weighted(_written_posts(s, d), chunks(s, d)).select("chunk_id", "term", "raw_freq", F.round("tf", 6).alias("tf"), F.round("tfidf", 6).alias("tfidf"))
 
 
 def chunk_magnitude(s, d):
     own = chunks(s, d)
-    return index.magnitudes(index.weighted(_posts(s, d), own), own).select("chunk_id", F.round("magnitude", 6).alias("magnitude"))
+    return index.magnitudes(index.weighted(_written_posts(s, d), own), own).select("chunk_id", F.round("magnitude", 6).alias("magnitude"))
 
 
 def index_stats(s, d):
