@@ -45,18 +45,20 @@ TELLING = (
     r"|private[_\-.]?key|auth[_\-.]?key|master[_\-.]?key|credential|auth[_\-.]?token|bearer|kennwort|passwort|пароль|токен|ключ доступа"
     r"|mot de passe|senha|contraseña|密码|口令|パスワード"
 )
-#: A cheap look that every line with a credential passes.
+#: How the formats of KNOWN begin; as much of it as a rule asks of one string of a joined token.
+_BEGINS = ("AKIA", "ASIA", "AIza", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "glpa", "xox", "sk_l", "rk_l", "npm_", "SG.", "eyJ")
+#: A cheap look that every line with a credential passes: what the rules below can't match without.
 LOOK = re.compile(
-    r"[Pp]ass|PASS|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[_\-.]?[Kk]ey\b|KEY|[Cc]redential|CREDENTIAL|[Bb]earer|BEARER"
-    r"|Authorization|Kennwort|ароль|окен|senha|密码|口令|パスワード|IDENTIFIED|login|curl|"
-    r"AKIA|ASIA|AIza|gh[opsur]_|glpat-|xox[abprs]-|[sr]k_live_|npm_|SG\.|eyJ|://[^\s/@:\"']*:[^\s/@]+@|[?&](?:key|sig|auth)="
+    rf"(?i){TELLING}|key|login|log in|identified|\bbasic\s|[?&;](?:sig|signature|auth)=|\s-u|--user|://[^\s/@:\"'`<>]*:[^\s/@\"'`]+@"
+    rf"|(?-i:{'|'.join(map(re.escape, _BEGINS))})"
 )
-#: What every match of LOOK has part of.
+#: What every match of LOOK has part of, in lower case but for _BEGINS.
 _STEMS = (
-    "ass", "ASS", "wd", "WD", "ecret", "ECRET", "oken", "OKEN", "key", "Key", "KEY", "redential", "REDENTIAL", "earer", "EARER",
-    "Authorization", "ennwort", "ароль", "окен", "senha", "密码", "口令", "パスワード", "IDENTIFIED", "login", "curl",
-    "AKIA", "ASIA", "AIza", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "glpat-", "xox", "k_live_", "npm_", "SG.", "eyJ", "://", "?sig=", "&sig=", "?auth=", "&auth=",
+    "pass", "pwd", "secret", "token", "key", "credential", "bearer", "kennwort", "пароль", "токен", "ключ доступа", "senha", "contraseña", "密码", "口令", "パスワード",
+    "login", "log in", "identified", "basic", "sig=", "signature=", "auth=", "-u", "://",
 )
+#: Letters that case-blind rules take for an ASCII one; after this, lower case has the text's length.
+_FOLD = {0x17F: "s", 0x130: "i", 0x131: "i", 0x212A: "k"}
 _NAMED = re.compile(
     rf"(?i)(?P<key>[A-Za-z_$][\w.\-]{{0,60}})[\"'\]]{{0,2}}\s{{0,4}}(?::\s{{0,2}}[A-Za-z][\w.<>\[\]*|]{{0,24}}\s{{0,2}}(?==)|\[\d{{0,5}}\]\s{{0,2}}(?==))?"
     rf"(?::=|=>|=|:|,|\s)\s{{0,4}}(?:[rbuf@$]{{0,2}}(?P<q>[\"'`])(?P<quoted>(?:\\.|(?!(?P=q)).){{0,600}})(?P=q)|(?P<bare>[^\s\"'`,;(){{}}\[\]<>]{{6,200}}))"
@@ -70,6 +72,8 @@ _HEADER = re.compile(r"(?i)\b(?:(?P<b>basic)|bearer|token|apikey)\s{1,3}(?P<v>[A
 _PAIR = re.compile(r"(?i)\b(?:password|passwd|pwd|pass|accountkey|sharedaccesskey|secret)\s?=\s?(?P<v>[^\s;\"'`&]{4,200})")
 _CURL = re.compile(r"(?:\s-u|--user)[\s=]{1,3}[\"']?[\w.\-]{1,40}:(?P<v>[^\s\"'`@]{4,200})")
 _SQL = re.compile(r"(?i)\b(?:identified\s+by|password|as)\s+'(?P<v>[^']{4,200})'")
+#: What else a line says in which the value of _SQL is a credential; ``as`` alone names a column.
+_SQL_WITH = re.compile(rf"(?i){TELLING}|key|login|identified")
 _NOTE = re.compile(rf"(?i)(?:{TELLING}|\blogin\b|\blog in\b)[^\n]{{0,40}}?(?:[\s:=/\"'`(]|：)(?P<v>[A-Za-z0-9!@#$%^&*_+/=.\-~]{{8,200}})")
 _SQL_ROW = re.compile(r"(?i)'[\w.\-]*(?:token|secret|password|passwd|api_?key|credential)[\w.\-]*'\s*,\s*'(?P<v>[^']{6,200})'")
 _JOINS = re.compile(r"(?<=[A-Za-z0-9+/=_\-])([\"'])\s{0,4}[+.]?\s{0,4}\1(?=[A-Za-z0-9+/=_\-])")
@@ -160,6 +164,8 @@ def line_spans(line: str) -> list[tuple[int, int]]:
         if m["v"].strip("*") and not placeholder(m["v"]) and (secretish(m["v"], True) or ";" in line and "=" in line[: m.start()]):
             spans.append(m.span("v"))
     for rule in (_CURL, _SQL):
+        if rule is _SQL and not _SQL_WITH.search(line):
+            continue
         spans += [m.span("v") for m in rule.finditer(line) if not placeholder(m["v"]) and (rule is _CURL or secretish(m["v"], True))]
     spans += [m.span("v") for m in _SQL_ROW.finditer(line) if secretish(m["v"], True)]
     at = 0
@@ -186,6 +192,10 @@ def _free(v: str, line: str, m: re.Match) -> bool:
     if m.end("v") < len(line) and line[m.end("v")] in "([{":
         return False
     before = line[: m.start("v")]
+    # the telling word is letters within one run of base64
+    run = re.search(r"[A-Za-z0-9+/=]{16,}$", before)
+    if run and all(re.search(c, run.group()) for c in ("[a-z]", "[A-Z]", "[0-9]")):
+        return False
     if re.search(r"[\w)\]]\s*(?::=|==|!=|=)\s*$", before) and not re.search(rf"(?i)(?:{TELLING})\s*=\s*$", before):
         return False
     note = re.match(r"\s*(?://|#|/\*|\*|--|<!--|;|rem\b|>|-\s)", line, re.I) or not re.search(r"[;{}=]", line)
@@ -209,14 +219,16 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _candidate_lines(text: str) -> set[int]:
     """Where the lines begin that hold one of LOOK's stems; plain searches are the fast ones."""
     starts = set()
-    for stem in _STEMS:
-        at = text.find(stem)
-        while at >= 0:
-            starts.add(text.rfind("\n", 0, at) + 1)
-            end = text.find("\n", at)
-            if end < 0:
-                break
-            at = text.find(stem, end)
+    low = (text if text.isascii() else text.translate(_FOLD)).lower()
+    for where, stems in ((low, _STEMS), (text, _BEGINS)):
+        for stem in stems:
+            at = where.find(stem)
+            while at >= 0:
+                starts.add(text.rfind("\n", 0, at) + 1)
+                end = text.find("\n", at)
+                if end < 0:
+                    break
+                at = where.find(stem, end)
     return starts
 
 

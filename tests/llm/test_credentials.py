@@ -56,3 +56,26 @@ def test_table(spark):
     got = {tuple(r) for r in find_credentials(df, ["tbl", "row_key"], "content").distinct().collect()}
     assert got == {("f", 1, 1), ("f", 1, 2)}
     assert find_credentials(df, ["tbl", "row_key"], "content", redacted=True).where("redacted like '%7144%'").count() == 0
+
+
+LATE = [
+    'api_key_prod = "d9SUUZTJmdy3zCe3GcEUSXg/2Gsa1sTf"', "signing_key_v2: d9SUUZTJmdy3zCe3GcEUSXg2Gsa1sTf", "create user x identified by 'Tr0ub4dor&3x';",
+    'h = "authorization: basic ' + base64.b64encode(b"deploy:Str0ngPass").decode() + '"', "https://h.example/v1?signature=BZsVZ8SZ8158doHnCA6r0zucuajIqLpS",
+    "# contraseña: glimmer-Pebble52x", "# ключ доступа: glimmer-Pebble52x", "# Log in with glimmer-Pebble52x", "run --user admin:KoIiGuso0d75hj91rIt", 'x = "glpa" + "t-ynhGJNh8Xp8hXLQqSBEv"',
+    "# CONTRASEÑA: glimmer-Pebble52x", 'PaSsWoRd = "Walnut!7144x"',
+]
+
+
+@pytest.mark.parametrize("line", [*HIT, *LATE])
+def test_every_line_of_the_rules_passes_the_look(line):
+    from lodestone.llm.credentials import LOOK, line_spans
+
+    for form in (line, line.upper(), line.lower(), line.swapcase(), "İ ſ " + line):
+        if line_spans(form):
+            assert LOOK.search(form) and [x[0] for x in find_in("a\n" + form + "\nb")] == [2]
+    assert line_spans(line)
+
+
+def test_telling_letters_within_base64_tell_nothing():
+    assert find_in("    'Kl0TDhULuA87ymKjLpWd5fYKZwMd8VQBrl/zrwxDPA61G+hhHJt2s5hvtDgA'") == []
+    assert find_in("SELECT a AS 'Total2024Amt' FROM t;") == []
