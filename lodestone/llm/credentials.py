@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Formats that issuers publish for their tokens (fixed values).
 KNOWN = re.compile(
     r"\bA(?:KIA|SIA)[0-9A-Z]{16}\b"
-    r"|\bAIza[\w\-]{30,45}"
+    r"|\bAIza[\w\-]{30,}"
     r"|\bgh[opsur]_[A-Za-z0-9]{30,}"
     r"|\bglpat-[\w\-]{18,}"
     r"|\bxox[abprs]-[\w\-]{20,}"
@@ -37,6 +37,7 @@ KNOWN = re.compile(
 )
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PRIVATE_BODY = re.compile(r"(?:\\r|\\n|[\s\"'+,\\#*/;`|>])*(?:(?:Proc-Type|DEK-Info|Version)[^\n]*\s+)*([A-Za-z0-9+/=]{16,})")
+_BODY_NEXT = re.compile(r"[ \t\"'+,;)]*(?:\\r|\\n|\r?\n)(?:\\r|\\n|[\s\"'#*;`|>])*([A-Za-z0-9+/=]+)(?![^\s\"'\\+,;)`])")
 PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 
 #: Words that tell of a credential, in the languages of the corpus (fixed values).
@@ -61,21 +62,27 @@ _STEMS = (
 _FOLD = {0x17F: "s", 0x130: "i", 0x131: "i", 0x212A: "k"}
 _NAMED = re.compile(
     rf"(?i)(?P<key>[A-Za-z_$][\w.\-]{{0,60}})[\"'\]]{{0,2}}\s{{0,4}}(?::\s{{0,2}}[A-Za-z][\w.<>\[\]*|]{{0,24}}\s{{0,2}}(?==)|\[\d{{0,5}}\]\s{{0,2}}(?==))?"
-    rf"(?::=|=>|=|:|,|\s)\s{{0,4}}(?:[rbuf@$]{{0,2}}(?P<q>[\"'`])(?P<quoted>(?:\\.|(?!(?P=q)).){{0,600}})(?P=q)|(?P<bare>[^\s\"'`,;(){{}}\[\]<>]{{6,200}}))"
+    rf"(?::=|=>|=|:|,|\s)\s{{0,4}}(?:[rbuf@$]{{0,2}}(?P<q>[\"'`])|(?P<bare>[^\s\"'`,;(){{}}\[\]<>]{{6}}))"
 )
+#: Characters of a bare value that decide whether it is a credential.
+JUDGED = 200
+#: The value of _NAMED from its place on; read to its end only after a telling name.
+_BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
+_QUOTED = {q: re.compile(rf"(?:\\.|[^\\{q}])*(?={q})") for q in "\"'`"}
+_TO_QUOTE = {q: re.compile(rf"[^{q}]*(?={q})") for q in _QUOTED}
 _KEY = re.compile(rf"(?i)(?:{TELLING})")
 #: Names that speak about a credential without holding one.
 _ABOUT = re.compile(r"(?i)(?:hint|column|name|kind|type|policy|template|ref|label|url|uri|file|path|field|prompt|format|regex|pattern|length|count|limit|expiry|ttl|public)s?\d{0,3}$")
-_URL = re.compile(r"[a-z][a-z0-9+.\-]{1,20}://(?P<user>[^\s/@:\"'`<>]{0,80}):(?P<pass>[^\s/@\"'`]{2,200})@[\w\[]")
-_QUERY = re.compile(r"(?i)[?&;](?:access_?token|api_?key|auth_?token|token|key|sig|signature|secret|password|pass|pwd|auth|client_secret)=(?P<v>[^\s&\"'`;<>#]{6,300})")
-_HEADER = re.compile(r"(?i)\b(?:(?P<b>basic)|bearer|token|apikey)\s{1,3}(?P<v>[A-Za-z0-9+/=_.\-~]{8,1200})")
-_PAIR = re.compile(r"(?i)\b(?:password|passwd|pwd|pass|accountkey|sharedaccesskey|secret)\s?=\s?(?P<v>[^\s;\"'`&]{4,200})")
-_CURL = re.compile(r"(?:\s-u|--user)[\s=]{1,3}[\"']?[\w.\-]{1,40}:(?P<v>[^\s\"'`@]{4,200})")
-_SQL = re.compile(r"(?i)\b(?:identified\s+by|password|as)\s+'(?P<v>[^']{4,200})'")
+_URL = re.compile(r"[a-z][a-z0-9+.\-]{1,20}://(?P<user>[^\s/@:\"'`<>]*):(?P<pass>[^\s/@\"'`]{2,})@[\w\[]")
+_QUERY = re.compile(r"(?i)[?&;](?:access_?token|api_?key|auth_?token|token|key|sig|signature|secret|password|pass|pwd|auth|client_secret)=(?P<v>[^\s&\"'`;<>#]{6,})")
+_HEADER = re.compile(r"(?i)\b(?:(?P<b>basic)|bearer|token|apikey)\s{1,3}(?P<v>[A-Za-z0-9+/=_.\-~]{8,})")
+_PAIR = re.compile(r"(?i)\b(?:password|passwd|pwd|pass|accountkey|sharedaccesskey|secret)\s?=\s?(?P<v>[^\s;\"'`&]{4,})")
+_CURL = re.compile(r"(?:\s-u|--user)[\s=]{1,3}[\"']?[\w.\-]{1,40}:(?P<v>[^\s\"'`@]{4,})")
+_SQL = re.compile(r"(?i)\b(?:identified\s+by|password|as)\s+'(?P<v>[^']{4,})'")
 #: What else a line says in which the value of _SQL is a credential; ``as`` alone names a column.
 _SQL_WITH = re.compile(rf"(?i){TELLING}|key|login|identified")
-_NOTE = re.compile(rf"(?i)(?:{TELLING}|\blogin\b|\blog in\b)[^\n]{{0,40}}?(?:[\s:=/\"'`(]|：)(?P<v>[A-Za-z0-9!@#$%^&*_+/=.\-~]{{8,200}})")
-_SQL_ROW = re.compile(r"(?i)'[\w.\-]*(?:token|secret|password|passwd|api_?key|credential)[\w.\-]*'\s*,\s*'(?P<v>[^']{6,200})'")
+_NOTE = re.compile(rf"(?i)(?:{TELLING}|\blogin\b|\blog in\b)[^\n]{{0,40}}?(?:[\s:=/\"'`(]|：)(?P<v>[A-Za-z0-9!@#$%^&*_+/=.\-~]{{8,}})")
+_SQL_ROW = re.compile(r"(?i)'[\w.\-]*(?:token|secret|password|passwd|api_?key|credential)[\w.\-]*'\s*,\s*'(?P<v>[^']{6,})'")
 _JOINS = re.compile(r"(?<=[A-Za-z0-9+/=_\-])([\"'])\s{0,4}[+.]?\s{0,4}\1(?=[A-Za-z0-9+/=_\-])")
 
 _PLACE = re.compile(
@@ -168,18 +175,26 @@ def line_spans(line: str) -> list[tuple[int, int]]:
             continue
         spans += [m.span("v") for m in rule.finditer(line) if not placeholder(m["v"]) and (rule is _CURL or secretish(m["v"], True))]
     spans += [m.span("v") for m in _SQL_ROW.finditer(line) if secretish(m["v"], True)]
-    at = 0
+    at = taken = 0
     while m := _NAMED.search(line, at):
         at = m.start() + 1 if m.end() == m.start() else max(m.start() + len(m["key"]), m.start() + 1)
         if _KEY.search(m["key"]) and not _ABOUT.search(m["key"]):
-            which = "quoted" if m["q"] else "bare"
-            v = m[which]
             if m["q"] is None and not re.search(r"[=:]\s{0,4}$", line[: m.start("bare")]):
                 continue
-            if PRIVATE.search(v):
+            if m["q"]:
+                # a backslash may be the last character
+                value = _QUOTED[m["q"]].match(line, m.end("q")) or _TO_QUOTE[m["q"]].match(line, m.end("q"))
+            elif m.start("bare") < taken:
                 continue
-            if secretish(v.strip(), True) and not (which == "bare" and _IDENT.match(v)):
-                spans.append(m.span(which))
+            else:
+                value = _BARE.match(line, m.start("bare"))
+            if not value or PRIVATE.search(value.group()):
+                continue
+            # the head of a long bare value decides, the whole of it is taken
+            v = value.group() if m["q"] else value.group()[:JUDGED]
+            if secretish(v.strip(), True) and not (m["q"] is None and _IDENT.match(v)):
+                spans.append(value.span())
+                taken = value.end() if m["q"] is None else taken
     for m in _NOTE.finditer(line):
         v = m["v"].rstrip(".,;:)")
         if not spans and _free(v, line, m):
@@ -193,7 +208,7 @@ def _free(v: str, line: str, m: re.Match) -> bool:
         return False
     before = line[: m.start("v")]
     # the telling word is letters within one run of base64
-    run = re.search(r"[A-Za-z0-9+/=]{16,}$", before)
+    run = re.search(r"[A-Za-z0-9+/=]{16,}$", before[-64:])
     if run and all(re.search(c, run.group()) for c in ("[a-z]", "[A-Z]", "[0-9]")):
         return False
     if re.search(r"[\w)\]]\s*(?::=|==|!=|=)\s*$", before) and not re.search(rf"(?i)(?:{TELLING})\s*=\s*$", before):
@@ -232,6 +247,21 @@ def _candidate_lines(text: str) -> set[int]:
     return starts
 
 
+def _body_end(text: str, body: re.Match) -> int:
+    """Where the last line ends that is still body of a key without an END line: lines as long as the first, then a shorter one."""
+    at, width = body.end(1), len(body.group(1))
+    while m := _BODY_NEXT.match(text, at):
+        size = len(m.group(1))
+        last = size < width
+        rest = text[m.end(1) :].strip(" \t\r\n\"'") if last and m.end(1) + 64 > len(text) else "more"
+        if size > width or last and rest and not (size % 4 == 0 and re.search(r"[0-9+/=]", m.group(1))):
+            break
+        at = m.end(1)
+        if last:
+            break
+    return at
+
+
 def find_in(text: str) -> list[tuple[int, int, int]]:
     """``line_no, start, end`` of every credential of a text, in order."""
     found: list[tuple[int, int, int]] = []
@@ -241,7 +271,9 @@ def find_in(text: str) -> list[tuple[int, int, int]]:
             body = PRIVATE_BODY.match(text, m.end())
             if body and entropy(body.group(1)) > 3.0:
                 end = PRIVATE_END.search(text, m.end())
-                stop = end.start() if end else len(text)
+                if end and PRIVATE.search(text, m.end(), end.start()):
+                    end = None
+                stop = end.start() if end else _body_end(text, body)
                 keys.append((m.start(), stop))
                 found.append((text.count("\n", 0, m.start()) + 1, body.start(1), stop))
     number, counted = 1, 0

@@ -79,3 +79,33 @@ def test_every_line_of_the_rules_passes_the_look(line):
 def test_telling_letters_within_base64_tell_nothing():
     assert find_in("    'Kl0TDhULuA87ymKjLpWd5fYKZwMd8VQBrl/zrwxDPA61G+hhHJt2s5hvtDgA'") == []
     assert find_in("SELECT a AS 'Total2024Amt' FROM t;") == []
+
+
+LONG = "".join(base64.b64encode(bytes((i * 37 + j * 11 + i * j) % 251 for j in range(48))).decode().replace("/", "x").replace("+", "y") for i in range(16))
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "api_key: {}", 'api_key = "{}"', "https://h.example/v1?api_key={}&a=1", "Server=a;Password={};b=1", "create user x identified by '{}';", "('api_key', '{}')", "postgres://me:{}@db.example/x",
+        "# password {}", "curl -u admin:{} x", "Authorization: Bearer {}", "k = AIza{}",
+    ],
+)
+def test_long_values_are_taken_whole(line):
+    text = line.format(LONG)
+    got = redact(text, find_in(text))
+    assert not any(LONG[i : i + 12] in got for i in range(len(LONG) - 12)) and "REDACTED" in got
+
+
+def test_key_without_an_end_stops_at_its_body():
+    body = "\n".join(KEY.split("\n")[:-1])
+    after = "\n\ndef anExtraordinarilyLongFunctionName():\n    return anotherExtraordinarilyLongName\n\npassword = \"Walnut!7144x\"\n"
+    text = body + "\nQm9keUVuZDE=" + after
+    found = find_in(text)
+    assert [x[0] for x in found] == [1, 11]
+    clean = redact(text, found)
+    assert clean.endswith(after.replace("Walnut!7144x", "REDACTED")) and not any(x in clean for x in KEY.split("\n")[1:-1])
+    # the END of a later key isn't that of an earlier one
+    assert [x[0] for x in find_in(text + KEY)] == [1, 11, 12]
+    one = "k = \"" + KEY.split("\n-----END")[0].replace("\n", "\\n") + '"\nsecret = "Walnut!7144x"\n'
+    assert [x[0] for x in find_in(one)] == [1, 2]
