@@ -7,9 +7,11 @@ small runs ascend to their common prefix again as long as they fit in one
 leaf. Within a leaf all similarities are computed at once. The best of all
 trees are merged for each vector.
 
-Equal vectors are collapsed before and spread out after, so a group of copies
-of any size costs a row. A run that no bit of the string divides is compared
-in blocks against all of itself, so nothing is capped.
+Vectors of one direction (to 1e-6 in each place of the unit vector) are
+collapsed before and spread out after, so a group of copies of any size costs a
+row. A run that no bit of the string divides is held whole and compared in
+blocks against all windows of itself; what equals the k-th best to 1e-6 is
+chosen by the smaller id.
 
 Defined cases: null vectors, vectors of another length than ``dims``, with a
 null, NaN or infinite value, or all zero, take no part; repeated rows count
@@ -32,6 +34,8 @@ from lodestone.session import default_parallelism, materialize
 TREES, BITS, LEAF = 16, 128, 2048
 #: Rows of sorted arrays in a range partition, and rows held in memory at once.
 PARTITION_ROWS, HELD_ROWS = 50_000, 65_536
+#: Rows that others are compared with at once, and the difference of similarities that rounding makes.
+WINDOW, EQUAL = 16_384, 1e-6
 SEED = 20_011
 
 
@@ -74,27 +78,37 @@ def _runs(bits: np.ndarray, lo: int, hi: int, leaf: int) -> list[tuple[int, int]
     return out
 
 
-def _best(ids: np.ndarray, x: np.ndarray, k: int, least: float, block: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per row of ``x`` its ``k`` best others: row numbers, their ids, similarities."""
+def _best(ids: np.ndarray, x: np.ndarray, k: int, least: float, block: int = LEAF, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per row of ``x`` its ``k`` best others of each window: row numbers, their ids, similarities."""
     for a in range(0, len(x), block):
-        s = x[a : a + block] @ x.T
-        own = np.arange(len(s))
-        s[own, a + own] = -2.0
-        wide = s.shape[1] > 4 * k
-        if wide and (s >= least).sum() > 16 * k * len(s):
-            top = np.argpartition(-s, 2 * k, axis=1)[:, : 2 * k]
-            row, col = np.repeat(own, 2 * k), top.ravel()
+        for w in range(0, len(x), window):
+            s = x[a : a + block] @ x[w : w + window].T
+            other = ids[w : w + window]
+            own = np.arange(max(a, w), min(a + len(s), w + s.shape[1]))
+            s[own - a, own - w] = -2.0
+            if s.shape[1] > 4 * k and (s >= least).sum() > 16 * k * len(s):
+                cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                # all that equal the k-th best stay, so that the smaller ids can be chosen
+                keep = s >= np.maximum(cut - EQUAL, least)[:, None]
+                many = np.flatnonzero(keep.sum(1) > 2 * k)
+                for r in many:
+                    col = np.flatnonzero(keep[r])
+                    keep[r] = False
+                    keep[r, col[np.lexsort((other[col], _level(s[r, col])))[:k]]] = True
+                row, col = np.nonzero(keep)
+            else:
+                row, col = np.nonzero(s >= least)
             sim = s[row, col]
-            keep = sim >= least
-            row, col, sim = row[keep], col[keep], sim[keep]
-        else:
-            row, col = np.nonzero(s >= least)
-            sim = s[row, col]
-        order = np.lexsort((ids[col], -sim, row))
-        row, col, sim = row[order], col[order], sim[order]
-        nth = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-        keep = nth < k
-        yield row[keep] + a, ids[col[keep]], sim[keep]
+            order = np.lexsort((other[col], _level(sim), row))
+            row, col, sim = row[order], col[order], sim[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+            keep = nth < k
+            yield row[keep] + a, other[col[keep]], sim[keep]
+
+
+def _level(sim: np.ndarray) -> np.ndarray:
+    """Sorts similarities downwards, those that differ by rounding only as equal."""
+    return -np.round(sim.astype(np.float64) / EQUAL)
 
 
 def _lists(ids: np.ndarray, row: np.ndarray, other: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
@@ -127,30 +141,35 @@ def forest_neighbours(vectors: DataFrame, k: int, least: float, dims: int, trees
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, limit = 0, HELD_ROWS
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
+            nonlocal held, size, limit
             table = pa.Table.from_batches(held).combine_chunks()
             tree = np.asarray(table.column(0))
             ids = np.asarray(table.column(2))
             x = _matrix(table.column(3).chunk(0), dims)
             raw = np.frombuffer(b"".join(table.column(1).to_pylist()), dtype=np.uint8).reshape(len(ids), BITS // 8)
             bits = np.unpackbits(raw, axis=1)
-            for a, b in zip(*_edges(tree)):
+            # a run that no bit divides waits until all of it is held
+            unlike = np.flatnonzero((raw != raw[-1]).any(1) | (tree != tree[-1]))
+            begin = int(unlike[-1]) + 1 if len(unlike) else 0
+            done = len(ids) if last or len(ids) - begin <= leaf else begin
+            for a, b in zip(*_edges(tree[:done])):
                 for lo, hi in _runs(bits, a, b, leaf):
                     for row, other, sim in _best(ids[lo:hi], x[lo:hi], k, least):
                         if len(row):
                             yield _lists(ids[lo:hi], row, other, sim)
             # the end of what is held may cut a run: it is seen again with what follows
-            held = [] if last else [b for b in table.slice(max(0, len(ids) - leaf)).to_batches()]
+            held = [] if last else [b for b in table.slice(max(0, done - leaf)).to_batches()]
             size = sum(b.num_rows for b in held)
+            limit = max(HELD_ROWS, 2 * size)
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 size += batch.num_rows
-                if size >= HELD_ROWS:
+                if size >= limit:
                     yield from flush(False)
         if held:
             yield from flush(True)
@@ -167,6 +186,8 @@ def forest_neighbours(vectors: DataFrame, k: int, least: float, dims: int, trees
 
 
 def _edges(tree: np.ndarray) -> tuple[list[int], list[int]]:
+    if not len(tree):
+        return [], []
     cut = np.flatnonzero(np.diff(tree)) + 1
     return [0, *cut.tolist()], [*cut.tolist(), len(tree)]
 
@@ -185,7 +206,7 @@ def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         first = np.ones(len(row), bool)
         first[1:] = (row[1:] != row[:-1]) | (other[1:] != other[:-1])
         row, other, sim = row[first], other[first], sim[first]
-        order = np.lexsort((other, -sim, row))
+        order = np.lexsort((other, _level(sim), row))
         row, other, sim = row[order], other[order], sim[order]
         keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
         yield _lists(np.asarray(batch.column(0)), row[keep], other[keep], sim[keep])
@@ -193,7 +214,12 @@ def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 
 def nearest(vectors: DataFrame, k: int, least: float, dims: int, key: str = "chunk_id", vector: str = "embedding", trees: int = TREES) -> DataFrame:
     """``id, other, similarity``: the ``k`` most similar others of each row, those of ``least`` or more."""
-    own = materialize(usable(vectors, key, vector, dims).select("id", "v", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")), "vectors")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    # vectors of one direction are copies whatever their norms
+    # (the norm in an array is computed once a vector, not once a value)
+    unit = F.transform(F.array(norm), lambda n: F.transform("v", lambda x: F.round(x.cast("double") / n / EQUAL).cast("int")))
+    way = usable(vectors, key, vector, dims).withColumn("w", unit)
+    own = materialize(way.select("id", "v", F.xxhash64("w").alias("h1"), F.hash("w").alias("h2")), "vectors")
     groups = materialize(own.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "copies")
     singles = own.select("id", "v").join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
     near = forest_neighbours(singles, k, least - 1e-5, dims, trees)
@@ -209,7 +235,7 @@ def nearest(vectors: DataFrame, k: int, least: float, dims: int, key: str = "chu
         .groupBy("rep")
         .agg(F.collect_list("e").alias("es"))
     )
-    each = F.flatten(F.transform("es", lambda e: F.transform(e["ids"], lambda i: F.struct(e["d"].alias("d"), i.alias("o")))))
+    each = F.flatten(F.transform("es", lambda e: F.transform(e["ids"], lambda i: F.struct(F.round(e["d"] / EQUAL).alias("level"), i.alias("o"), e["d"].alias("d")))))
     lists = spread.select("rep", F.slice(F.sort_array(each), 1, k + 1).alias("near"))
     everyone = own.join(groups.where("n > 1").select("h1", "h2", "rep"), ["h1", "h2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     return (

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from lodestone.llm.neighbours import nearest, similar_pairs
 
@@ -41,3 +42,27 @@ def test_small_leaves_and_equal_strings(spark):
 def test_nothing(spark):
     none = spark.createDataFrame([], "chunk_id long, embedding array<float>")
     assert nearest(none, 3, 0.8, 8).count() == 0
+
+
+def test_one_direction_of_many_norms(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(8).astype(np.float32)
+    rows = [(int(i), (base * np.float32(n)).tolist()) for i, n in zip(rng.permutation(5000), rng.uniform(0.1, 9, 5000))]
+    got = {(r["id"], r["other"]) for r in nearest(spark.createDataFrame(rows, "chunk_id long, embedding array<float>"), 3, 0.8, 8).collect()}
+    assert got == {(i, o) for i in range(5000) for o in [x for x in range(4) if x != i][:3]}
+
+
+def test_undivided_run_across_windows(spark, monkeypatch):
+    from lodestone.llm import neighbours
+
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(8)
+    x = (base + 3e-5 * rng.standard_normal((600, 8))).astype(np.float32)
+    ids = rng.permutation(600)
+    unit = neighbours._matrix(pa.array(x.tolist(), pa.list_(pa.float32())), 8)
+    pairs = {(int(ids[r]), int(o)) for row, other, _ in neighbours._best(ids, unit, 3, 0.8, 64, 128) for r, o in zip(row, other)}
+    assert {(i, o) for i in range(600) for o in [y for y in range(4) if y != i][:3]} <= pairs
+    monkeypatch.setattr(neighbours, "HELD_ROWS", 100)
+    table = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist())], "id long, v array<float>").repartition(1)
+    got = {(r["id"], n["o"]) for r in neighbours.forest_neighbours(table, 3, 0.8, 8, 2, 50).collect() for n in r["near"]}
+    assert got == {(i, o) for i in range(600) for o in [y for y in range(4) if y != i][:3]}
