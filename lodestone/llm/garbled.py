@@ -15,15 +15,19 @@ the sample the classifier knows only its seed sentences.
 
 from __future__ import annotations
 
+import codecs
+import functools
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import default_parallelism
+
 #: Rows that the classifier is fitted on at most (documented bound; the least by hash).
 SAMPLE_ROWS = 8000
 #: Hash buckets of the bigram features, and smoothing.
@@ -64,8 +68,6 @@ CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
     "eucjp>cp1252": (("euc_jp", "cp1252*"),),
     "gbk>cp1252": (("gb18030", "cp1252*"),),
 }
-#: Chains of UTF-8 through code pages, whose inverse almost never decodes by chance.
-SINGLE = [c for c in CHAINS if c.startswith("utf8>") and c not in ("utf8>gbk", "utf8>sjis")]
 #: Sound sentences that every fit starts from.
 SEEDS = (
     "Съешь ещё этих мягких французских булок да выпей чаю",
@@ -82,37 +84,22 @@ SEEDS = (
 _WORDS = re.compile(r"[^\x00-\x7f]+(?:[\x20-\x7e]?[^\x00-\x7f]+)*")
 _LETTERS = re.compile(r"\S*[^\x00-\x7f]\S*", re.ASCII)
 _PLAIN = re.compile(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
-_TABLES: dict[str, tuple[dict[str, bytes], dict[int, str]]] = {}
 
 
-def _loose(name: str) -> tuple[dict[str, bytes], dict[int, str]]:
-    """A single-byte code page whose undefined bytes stand for themselves, as readers do."""
-    if name not in _TABLES:
-        there = {}
-        for b in range(256):
-            try:
-                there[b] = bytes([b]).decode(name)
-            except UnicodeDecodeError:
-                there[b] = chr(b)
-        _TABLES[name] = ({c: bytes([b]) for b, c in there.items()}, there)
-    return _TABLES[name]
+@functools.lru_cache(maxsize=None)
+def _loose(name: str) -> tuple[str, object]:
+    """A single-byte code page whose undefined bytes stand for themselves, as readers do: to decode and to encode by."""
+    there = [bytes([b]).decode(name, "replace") for b in range(256)]
+    table = "".join(chr(b) if c == "\ufffd" else c for b, c in enumerate(there))
+    return table, codecs.charmap_build(table)
 
 
 def _read(data: bytes, enc: str) -> str:
-    if enc.endswith("*"):
-        there = _loose(enc[:-1])[1]
-        return "".join([there[b] for b in data])
-    return data.decode(enc)
+    return codecs.charmap_decode(data, "strict", _loose(enc[:-1])[0])[0] if enc.endswith("*") else data.decode(enc)
 
 
 def _bytes(text: str, enc: str) -> bytes:
-    if enc.endswith("*"):
-        back = _loose(enc[:-1])[0]
-        try:
-            return b"".join([back[c] for c in text])
-        except KeyError as e:
-            raise UnicodeEncodeError(enc, text, 0, 1, "no such character") from e
-    return text.encode(enc)
+    return codecs.charmap_encode(text, "strict", _loose(enc[:-1])[1])[0] if enc.endswith("*") else text.encode(enc)
 
 
 def garble(text: str, chain: str) -> str | None:
@@ -149,6 +136,10 @@ def _core(s: str) -> str:
     return " ".join(_WORDS.findall(s))
 
 
+#: The seeds as stretches, each counting as five lines.
+SEEDED = {_shape(x): 5 for x in SEEDS}
+
+
 def features(s: str) -> np.ndarray:
     b = np.frombuffer(f" {s} ".encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.int64)
     pair = b[:-1] * 256 + b[1:]
@@ -156,6 +147,26 @@ def features(s: str) -> np.ndarray:
     return (pair * 40503 >> 2) & (BUCKETS - 1)
 
 
+#: Classes of the classifier, the sound one first.
+CLASSES = [SOUND, *CHAINS]
+
+
+def trustworthy(s: str) -> bool:
+    """A stretch to fit on: nothing lost, and no chain through UTF-8 that its words could have come by."""
+    return "\ufffd" not in s and not any(invert(_core(s), c) for c in CHAINS if c.startswith("utf8"))
+
+
+def count_bigrams(sound: Iterable[tuple[str, int]]) -> np.ndarray:
+    """Bigrams of sound stretches with their counts, and of their garblings: a row for each of CLASSES."""
+    counts = np.zeros((len(CLASSES), BUCKETS))
+    for s, n in sound:
+        for k, chain in enumerate(CLASSES):
+            text = s if chain == SOUND else garble(s, chain)
+            if text is not None and (k == 0 or text != s):
+                np.add.at(counts[k], features(text), n)
+    return counts
+
+
 class Classifier:
     """Multinomial over hashed byte bigrams; ``weights`` has a row for each class."""
 
@@ -163,32 +174,23 @@ class Classifier:
         self.classes, self.weights, self.prior = classes, weights, prior
 
     @classmethod
-    def fit(cls, sound: dict[str, int]) -> Classifier:
-        classes = [SOUND, *CHAINS]
-        counts = np.full((len(classes), BUCKETS), ALPHA)
-        for s, n in sound.items():
-            for k, chain in enumerate(classes):
-                text = s if chain == SOUND else garble(s, chain)
-                if text is not None and (k == 0 or text != s):
-                    np.add.at(counts[k], features(text), n)
-        prior = np.full(len(classes), np.log(1e-3))
+    def of_counts(cls, counts: np.ndarray) -> Classifier:
+        """From the counts of each class's bigrams (a row for each of CLASSES)."""
+        own = counts + ALPHA
+        prior = np.full(len(CLASSES), np.log(1e-3))
         prior[0] = 0.0
-        return cls(classes, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32), prior)
+        return cls(CLASSES, np.log(own / own.sum(1, keepdims=True)).astype(np.float32), prior)
 
     @classmethod
-    def fit_cleaned(cls, lines: dict[str, int], rounds: int = 2) -> Classifier:
+    def fit(cls, sound: dict[str, int]) -> Classifier:
+        return cls.of_counts(count_bigrams(sound.items()))
+
+    @classmethod
+    def fit_cleaned(cls, lines: dict[str, int]) -> Classifier:
         """Fit on stretches and their counts, drop what the fit calls garbled, fit again."""
-        kept = {
-            x: n
-            for x, n in lines.items()
-            if "\ufffd" not in x and not any(invert(_core(x), c) for c in CHAINS if c.startswith("utf8"))
-        }
-        seeds = {_shape(x): 5 for x in SEEDS}
-        model = cls.fit(kept | seeds)
-        for _ in range(rounds - 1):
-            kept = {x: n for x, n in kept.items() if model.chain(x) == SOUND}
-            model = cls.fit(kept | seeds)
-        return model
+        kept = {x: n for x, n in lines.items() if trustworthy(x)}
+        model = cls.fit(kept | SEEDED)
+        return cls.fit({x: n for x, n in kept.items() if model.chain(x) == SOUND} | SEEDED)
 
     def chain(self, s: str) -> str:
         """The likeliest class whose inverse decodes strictly."""
@@ -199,21 +201,29 @@ class Classifier:
         for k in np.argsort(-scores, kind="stable"):
             name = self.classes[k]
             if name == SOUND:
-                return self._in_a_word(core)
+                return SOUND
             back = invert(core, name)
-            if back is not None and back != core and _plausible(back):
+            if back is None:
+                if self._in_a_run(core, k):
+                    return name
+            elif back != core and _plausible(back) and (name.startswith("utf8") or self._sounder(back, core)):
                 return name
         return SOUND
 
-    @staticmethod
-    def _in_a_word(core: str) -> str:
-        """A class for sound-looking stretches with a run that is UTF-8 read as a code page."""
+    def _sounder(self, back: str, core: str) -> bool:
+        """Whether the inverse reads sounder than the stretch, a bigram on average; between single-byte pages everything decodes."""
+        a, b = self.weights[0, features(back)], self.weights[0, features(core)]
+        return len(a) > 0 and (len(b) == 0 or a.mean() > b.mean())
+
+    def _in_a_run(self, core: str, k: int) -> bool:
+        """Whether a run of a stretch of class ``k`` that was cut or altered elsewhere decodes, and is of that class by itself."""
         for run in core.split(" "):
-            for name in SINGLE:
-                back = invert(run, name)
-                if back and back != run and _plausible(back):
-                    return name
-        return SOUND
+            back = invert(run, self.classes[k])
+            if back and back != run and _plausible(back):
+                own = self.weights[:, features(run)].sum(1) + self.prior
+                if own[k] > own[0]:
+                    return True
+        return False
 
     def restore(self, line: str, chain: str) -> str | None:
         """The line with each garbled word set right; None where that fails."""
@@ -255,20 +265,45 @@ def fit_on(texts: DataFrame, key: str, text: str) -> Classifier:
     """Fit on the stretches of the SAMPLE_ROWS rows with the least key hashes.
 
     The bound on the hash is found from the keys alone, so texts of rows
-    outside the sample never leave their scan.
+    outside the sample never leave their scan. Stretches are counted and
+    garbled on the executors; what reaches the driver is a number for each
+    class and bucket, however long the rows are.
     """
+    spark = texts.sparkSession
     h = F.xxhash64(key)
     least = texts.select(h.alias("h")).orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
     if least is None:
         return Classifier.fit_cleaned({})
-    rows = (
-        texts.where((h <= least) & F.col(text).rlike(r"[^\x00-\x7f]"))
-        .select(F.explode(F.split(text, "\n")).alias("line"))
-        .where(F.col("line").rlike(r"[^\x00-\x7f]"))
-        .select(F.substring("line", 1, 400).alias("line"))
-    )
-    seen = Counter(_shape(line) for (line,) in rows.collect())
-    return Classifier.fit_cleaned({s: n for s, n in seen.items() if len(s) < 200})
+    rows = texts.where((h <= least) & F.col(text).rlike(r"[^\x00-\x7f]")).select(text)
+    parts = default_parallelism(spark)
+    lines = rows.mapInArrow(_stretches, "s string, n long").repartition(parts, "s").groupBy("s").agg(F.sum("n").alias("n"))
+
+    def counted(which: Callable[[str], bool]) -> np.ndarray:
+        """Bigrams of the trustworthy stretches that ``which`` takes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros((len(CLASSES), BUCKETS))
+            for batch in batches:
+                pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                counts += count_bigrams((s, n) for s, n in pairs if trustworthy(s) and which(s))
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.reshape(-1)[at])], names=["at", "n"])
+
+        table = lines.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        total = np.zeros((len(CLASSES), BUCKETS))
+        total.reshape(-1)[np.asarray(table["at"])] = np.asarray(table["n"])
+        return total
+
+    everything = counted(lambda s: True) + count_bigrams(SEEDED.items())
+    first = spark.sparkContext.broadcast(Classifier.of_counts(everything))  # classes x BUCKETS floats, whatever the data
+    return Classifier.of_counts(everything - counted(lambda s: first.value.chain(s) != SOUND))
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of a batch of texts and how often each is there."""
+    for batch in batches:
+        seen = Counter(_shape(x) for text in batch.column(0).to_pylist() for x in text.split("\n") if not x.isascii())
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["s", "n"])
 
 
 def find_garbled(texts: DataFrame, model: Classifier, keys: list[str], text: str, restored: bool = False) -> DataFrame:
