@@ -1,37 +1,33 @@
 """Encode a corpus with a byte-level BPE vocabulary, each distinct word once.
 
-Pre-tokens are cut in the JVM. An Arrow step turns every batch of documents
-into a block: the block's distinct pre-tokens and, per document, positions as
-indexes into them. Only (block, index, word) rows meet in the global word
-shuffle; the distinct words are encoded once, their ids joined back, collected
-per block and placed by position.
+An Arrow step cuts documents into pre-tokens and packs runs of documents into
+blocks of bounded size: a row holds the block's keys, its distinct pre-tokens,
+and the positions of all its pre-tokens among these as one buffer. Only
+(block, index, word) rows meet in the global word shuffle; the distinct words
+are encoded once, their ids joined back, collected per block and placed by
+position, again for a whole block at once.
 
 Defined cases: a null or empty text gives an empty list; repeated rows give a
-row each; an empty table gives no rows; columns of the input besides the key
-and the text are ignored, whatever their names.
+row each; an empty table gives no rows; a text of any length stands in one
+block; columns of the input besides the key and the text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.pretokens import blocks
 from lodestone.session import materialize
 
-#: White space as Unicode has it, since Java's \s is ASCII.
-UNICODE_SPACE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PRE_TOKEN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
-    rf"| ?[^{UNICODE_SPACE}\p{{L}}\p{{N}}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+"
-)
-#: Documents in a block; a block's distinct words travel together.
-BLOCK_ROWS = 4096
-
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -48,31 +44,59 @@ def load_encoding(path: str):
     return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
-def pre_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import uuid
-
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per block of documents; an index takes two bytes where the block's words are few enough."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        lists = batch.column(1)
-        coded = lists.flatten().dictionary_encode()
-        # offsets of a sliced list array start anywhere; lengths do not
-        seq = pa.ListArray.from_arrays(_offsets(lists), coded.indices)
-        words = pa.array([coded.dictionary.to_pylist()] + [None] * (batch.num_rows - 1), pa.list_(pa.string()))
-        block = pa.array([uuid.uuid4().hex] * batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), block, seq, words], names=["key", "block", "seq", "words"])
-
-
-def _offsets(lists: pa.ListArray) -> pa.Array:
-    import numpy as np
-    import pyarrow.compute as pc
-
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
-    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype("int32"))
+        for a, b, counts, words in blocks(batch.column(1)):
+            coded = words.dictionary_encode()
+            seq = coded.indices.to_numpy().astype("<u2" if len(coded.dictionary) <= 1 << 16 else "<u4")
+            one = {
+                "block": pa.array([uuid.uuid4().hex]),
+                "keys": pa.ListArray.from_arrays([0, b - a], batch.column(0).slice(a, b - a)),
+                "counts": pa.array([counts.tobytes()], pa.binary()),
+                "seq": pa.array([seq.tobytes()], pa.binary()),
+                "words": pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary),
+            }
+            yield pa.RecordBatch.from_arrays(list(one.values()), names=list(one))
+
+
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]]:
+    """Keys, pre-tokens a document, word indexes and the table of what the words became, of each block."""
+    for batch in batches:
+        keys, counts, seq, table = (batch.column(k) for k in range(4))
+        for i in range(batch.num_rows):
+            n = np.frombuffer(counts[i].as_buffer(), np.int64)
+            raw = seq[i].as_buffer()
+            wide = n.sum() * 4 == raw.size
+            yield keys[i].values, n, np.frombuffer(raw, "<u4" if wide else "<u2").astype(np.int64), table[i].values
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``counts`` values."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def _place_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for keys, counts, seq, table in _each_block(batches):
+        if len(seq):
+            sizes = np.asarray(table.value_lengths(), dtype=np.int64)
+            first = np.cumsum(sizes) - sizes
+            own = sizes[seq]
+            ends = np.cumsum(own)
+            at = np.repeat(first[seq] - ends + own, own) + np.arange(ends[-1])
+            flat, lengths = np.asarray(table.flatten())[at], _sums(own, counts)
+        else:
+            flat, lengths = np.empty(0, np.int32), counts
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=["key", "ids"])
+
+
+def _place_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for keys, counts, seq, table in _each_block(batches):
+        own = np.asarray(table, dtype=np.int64)[seq] if len(seq) else seq
+        yield pa.RecordBatch.from_arrays([keys, pa.array(_sums(own, counts))], names=["key", "n"])
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
@@ -87,35 +111,31 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
     return words.select("word").mapInArrow(run, "word string, ids array<int>")
 
 
-def encode_corpus(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, ids`` for every row of ``docs``, without special tokens."""
+def _through_words(docs: DataFrame, vocabulary: str, key: str, text: str, became: Column, place: Callable, result: str) -> DataFrame:
+    """``place`` over blocks joined with ``became`` of their words' ``ids``."""
     kind = docs.schema[key].dataType.simpleString()
-    source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spark = docs.sparkSession
-    had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
-    try:
-        cut = materialize(
-            source.select("key", pre_tokens(F.col("text")).alias("w")).mapInArrow(
-                _blocks, f"key {kind}, block string, seq array<int>, words array<string>"
-            ),
-            "pretokens",
-        )
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
-    used = cut.where(F.col("words").isNotNull()).select("block", F.posexplode("words").alias("i", "word"))
-    coded = encode_words(used.select("word").distinct(), vocabulary)
+    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    cut = materialize(source.mapInArrow(_cut, f"block string, keys array<{kind}>, counts binary, seq binary, words array<string>"), "pretokens")
+    used = cut.select("block", F.posexplode("words").alias("i", "word"))
+    coded = encode_words(used.select("word").distinct(), vocabulary).select("word", became.alias("v"))
     tables = (
         used.join(coded, "word")
         .groupBy("block")
-        .agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("t"))
-        .select("block", F.transform("t", lambda x: x["ids"]).alias("table"))
-    )
-    placed = cut.select("key", "block", "seq").join(tables, "block", "left")
-    ids = F.flatten(F.transform("seq", lambda i: F.get("table", i)))
-    return placed.select(
-        F.col("key").alias(key), F.when(F.size("seq") > 0, ids).otherwise(F.array().cast("array<int>")).alias("ids")
+        .agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("t"))
+        .select("block", F.transform("t", lambda x: x["v"]).alias("t"))
     )
+    placed = cut.select("block", "keys", "counts", "seq").join(tables, "block", "left").select("keys", "counts", "seq", "t")
+    return placed.mapInArrow(place, f"key {kind}, {result}").withColumnRenamed("key", key)
+
+
+def encode_corpus(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, ids`` for every row of ``docs``, without special tokens."""
+    return _through_words(docs, vocabulary, key, text, F.col("ids"), _place_ids, "ids array<int>")
+
+
+def count_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, n_tokens`` for every row of ``docs``: as ``encode_corpus``, but only the words' numbers of ids travel."""
+    return _through_words(docs, vocabulary, key, text, F.size("ids"), _place_sizes, "n bigint").withColumnRenamed("n", "n_tokens")
 
 
 def decode_corpus(encoded: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.corpus_encode import encode_corpus, tokenizer_path
+from lodestone.llm.corpus_encode import count_tokens, encode_corpus, tokenizer_path
 from lodestone.llm.credentials import find_credentials
 from lodestone.llm.garbled import find_garbled, fit_on
 from lodestone.llm.neighbours import nearest, similar_pairs
@@ -90,12 +90,11 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return encode_corpus(docs, tokenizer_path(VOCABULARY))
+    return encode_corpus(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(VOCABULARY))
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = p7_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n_tokens"))
+    sizes = count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(VOCABULARY))
     return pack(sizes, CAPACITY, "doc_id", "n_tokens")
 
 

@@ -3,7 +3,7 @@ import base64
 import numpy as np
 import pytest
 
-from lodestone.llm.corpus_encode import decode_corpus, encode_corpus, tokenizer_path
+from lodestone.llm.corpus_encode import count_tokens, decode_corpus, encode_corpus, tokenizer_path
 from lodestone.llm.packing import pack, plan_patterns
 
 TEXTS = [
@@ -83,3 +83,19 @@ def test_pack_table(spark):
 
 def test_pack_nothing(spark):
     assert pack(spark.createDataFrame([], "k int, size int"), 10, "k", "size").count() == 0
+
+
+def test_counts_equal_ids(docs, spark):
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    ids = {r["doc_id"]: len(r["ids"]) for r in encode_corpus(docs, path).collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs, path).collect()} == ids
+    assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+    assert {r["k"]: r["n_tokens"] for r in count_tokens(spark.createDataFrame([("a", None), ("b", ""), ("b", "")], "k string, text string"), path, "k").collect()} == {"a": 0, "b": 0}
+
+
+def test_many_words_take_wide_indexes(spark):
+    """A block of more than 65,536 distinct words."""
+    text = " ".join(f"w{i:x}z" for i in range(70_000))
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    got = decode_corpus(encode_corpus(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), path), path)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: text, 2: "short"}
