@@ -19,11 +19,11 @@ def token_counts(docs: DataFrame, key: str = "chunk_id", text: str = "content")
 
 
 def postings(docs: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """``key, term, raw_freq, tf``. The length rides along with the terms, so there is one shuffle."""
+    """``key, term, raw_freq, tf, dl``. The text's length rides along with the terms, so there is one shuffle."""
     listed = docs.select(key, tokens(F.col(text)).alias("ts"))
     rows = listed.select(key, F.size("ts").alias("n"), F.explode("ts").alias("term"))
-    counted = rows.groupBy(key, "term").agg(F.count("*").cast("int").alias("raw_freq"), F.first("n").alias("n"))
-    return counted.select(key, "term", "raw_freq", (F.col("raw_freq") / F.greatest("n", F.lit(1))).alias("tf"))
+    counted = rows.groupBy(key, "term").agg(F.count("*").cast("int").alias("raw_freq"), F.first("n").alias("dl"))
+    return counted.select(key, "term", "raw_freq", (F.col("raw_freq") / F.greatest("dl", F.lit(1))).alias("tf"), "dl")
 
 
 def idf_of(n: Column, df: Column) -> Column:

@@ -42,10 +42,10 @@ def path_matches(path: Column, contains: str = "", extensions: list[str] | None
     return ok
 
 
-def candidates(posts: DataFrame, chunks: DataFrame, files: DataFrame, terms: list[str]) -> DataFrame:
-    """Postings of the asked terms with their chunk and path; the filter reaches the scan of postings."""
-    own = posts.where(F.col("term").isin(terms)).select("chunk_id", "term", "raw_freq")
-    return own.join(chunks.select("chunk_id", "file_id", "content", "start_line", "end_line", "dl"), "chunk_id").join(files.select("file_id", "path"), "file_id")
+def candidates(posts: DataFrame, files: DataFrame, matches: Column | None = None) -> DataFrame:
+    """``chunk_id, term, raw_freq, dl, path`` of postings whose file is there and ``matches``; no content is read."""
+    own = files.select("file_id", "path")
+    return posts.select("chunk_id", "file_id", "term", "raw_freq", "dl").join(own if matches is None else own.where(matches), "file_id")
 
 
 def query_idf(posts: DataFrame, docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -62,11 +62,12 @@ def _gain(avgdl: Column) -> Column:
 
 
 def bm25(cands: DataFrame, weights: DataFrame, terms: list[str], limit: int | None, avgdl: DataFrame | None = None) -> DataFrame:
-    """Ranked chunks of candidates.
+    """``chunk_id, path, score, matched_terms`` of candidates, ranked.
 
     ``avgdl`` is a one-row table (corpus-wide mean); without it the mean is
     that of the candidates as filtered. Ties go to the smaller chunk id. A
-    limit of 0 or less gives no rows, None gives all.
+    limit of 0 or less gives no rows, None gives all. Matched terms keep the
+    query's order.
     """
     if avgdl is None:
         avgdl = cands.select("chunk_id", "dl").dropDuplicates(["chunk_id"]).agg(F.greatest(F.coalesce(F.avg("dl"), F.lit(1.0)), F.lit(1.0)).alias("avgdl"))
@@ -76,16 +77,21 @@ def bm25(cands: DataFrame, weights: DataFrame, terms: list[str], limit: int | No
         .crossJoin(F.broadcast(avgdl))
         .withColumn("gain", _gain(F.col("avgdl")))
         .groupBy("chunk_id")
-        .agg(F.sum("gain").alias("score"), F.collect_set("term").alias("got"), *[F.first(c).alias(c) for c in ("path", "content", "start_line", "end_line")])
-        .select(
-            F.concat(F.lit("file://"), "path").alias("uri"), "score",
-            F.filter(asked, lambda t: F.array_contains(F.col("got"), t)).alias("matched_terms"),
-            "content", "start_line", "end_line", "chunk_id",
-        )
-    )
+        .agg(F.sum("gain").alias("score"), F.collect_set("term").alias("got"), F.first("path").alias("path"))
+        .select("chunk_id", "path", "score", F.filter(asked, lambda t: F.array_contains(F.col("got"), t)).alias("matched_terms"))
+    )
     return scored if limit is None else scored.orderBy(F.desc("score"), "chunk_id").limit(max(0, limit))
 
 
+def results(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked chunks as results: ``uri, score, matched_terms, content, start_line, end_line, chunk_id``.
+
+    ``ranked`` is as long as the query's limit, so it is the side that is broadcast.
+    """
+    lines = chunks.select("chunk_id", "content", "start_line", "end_line")
+    return lines.join(F.broadcast(ranked), "chunk_id").select(F.concat(F.lit("file://"), "path").alias("uri"), "score", "matched_terms", "content", "start_line", "end_line", "chunk_id")
+
+
 def fuse(ranked: DataFrame, near: DataFrame, limit: int, bm25_weight: float = 0.5) -> DataFrame:
     """``chunk_id, score``: weighted BM25 (by its best) plus weighted reciprocal vector rank.
 

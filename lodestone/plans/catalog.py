@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,9 @@ from pyspark.sql.window import Window
 from lodestone.functions import render, text
 from lodestone.functions.stemmer import stemmed
 from lodestone.operators import chunking, index, maintain, search, structural, vectors
-from lodestone.session import materialize, read_table, spread
+from lodestone.plans import finder
+from lodestone.plans.store import IndexStore
+from lodestone.session import materialize, read_table, scratch_dir
 from lodestone.sources import embeddings, scan
 from lodestone.streaming import watch
 
@@ -30,7 +34,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return spread(read_table(spark, d, "chunks")).dropDuplicates(["chunk_id"])
+    return read_table(spark, d, "chunks").dropDuplicates(["chunk_id"])
 
 
 def vecs(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +42,7 @@ def vecs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(read_table(spark, d, "documents"))
+    return read_table(spark, d, "documents")
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -131,52 +135,97 @@ def structural_chunks(s, d):
     return structural.structural_chunks(files(s, d))
 
 
-class _Index:
-    """Postings written once, sorted by term, as a stored index has them; both sides of a search read these."""
+_stores: dict[tuple[str, str], IndexStore] = {}
 
-    def __init__(self, s, d):
-        self.chunks, self.files = chunks(s, d), files(s, d)
-        self.posts = materialize(_posts(s, d).sortWithinPartitions("term"), "postings")
-        lengths = self.posts.groupBy("chunk_id").agg(F.sum("raw_freq").cast("int").alias("dl"))
-        self.measured = self.chunks.join(lengths, "chunk_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
 
-    def candidates(self):
-        return search.candidates(self.posts, self.measured, self.files, list(TERMS))
+def stored(s, d) -> IndexStore:
+    """The index of a folder's tables: built by the application's first query that needs it, read by all."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _stores:
+        own = IndexStore(s, f"{scratch_dir(s)}/index-{uuid.uuid4().hex}")
+        own.load(read_table(s, d, "files"), read_table(s, d, "chunks"), read_table(s, d, "vectors"))
+        _stores[key] = own
+    return _stores[key]
 
-    def weights(self):
-        return search.query_idf(self.posts, self.chunks, list(TERMS))
 
+def _terms(s) -> list[str]:
+    return search.terms_of(s, QUERY)
 
-def _shape(df):
-    return df.select("uri", F.round("score", 6).alias("score"), F.array_join("matched_terms", " ").alias("matched_terms"), "start_line", "end_line", "chunk_id")
+
+def _candidates(s, d, filters=finder.Filters()):
+    ix = stored(s, d)
+    return search.candidates(ix.terms(_terms(s)), ix.rows("files"), filters.matches())
+
+
+def _shape(ix, ranked):
+    """Ranked chunks with their lines, which are fetched for them alone."""
+    return search.results(ranked, ix.rows("chunks")).select(
+        "uri", F.round("score", 6).alias("score"), F.array_join("matched_terms", " ").alias("matched_terms"), "start_line", "end_line", "chunk_id"
+    )
+
+
+def index_build(s, d):
+    """A new index of the whole tables, counted from its segments."""
+    own = IndexStore(s, f"{scratch_dir(s)}/index-{uuid.uuid4().hex}")
+    own.load(read_table(s, d, "files"), read_table(s, d, "chunks"), read_table(s, d, "vectors"))
+    own.rebuild()
+    counts = [own.rows(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("tbl"), "n") for n in ("files", "chunks", "postings", "vectors", "idf")]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
+def store_rebuild(s, d):
+    """Stored tf-idf of every posting after a rebuild."""
+    own = stored(s, d)
+    if not own.manifest()["segments"]["idf"]:
+        own.rebuild()
+    return own.rows("postings").select("chunk_id", "term", "raw_freq", F.round("tfidf", 6).alias("tfidf"))
+
+
+def store_magnitudes(s, d):
+    own = stored(s, d)
+    if not own.manifest()["segments"]["idf"]:
+        own.rebuild()
+    return own.table("chunks").select("chunk_id", F.round("magnitude", 6).alias("magnitude"))
+
+
+def store_refresh(s, d):
+    """Paths, hashes and numbers of chunks after a whole and then an incremental run over what changed and went."""
+    own = IndexStore(s, f"{scratch_dir(s)}/index-{uuid.uuid4().hex}")
+    whole = files(s, d).where(F.col("content").isNotNull())
+    own.apply(whole.drop("file_id"))
+    own.refresh(_scanned(s, d).where(F.col("content").isNotNull()).drop("file_id"))
+    chunks_of = own.rows("chunks").groupBy("file_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("terms"))
+    return own.rows("files").join(chunks_of, "file_id", "left").select("path", "hash", "mtime", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("terms", F.lit(0)).alias("terms"))
 
 
 def search_candidates(s, d):
-    return _Index(s, d).candidates().select("chunk_id", "term", "raw_freq", "path", "start_line", "end_line", F.col("dl").alias("token_count"))
+    lines = stored(s, d).rows("chunks").select("chunk_id", "start_line", "end_line")
+    return _candidates(s, d).join(lines, "chunk_id").select("chunk_id", "term", "raw_freq", "path", "start_line", "end_line", F.col("dl").alias("token_count"))
+
+
+def _best(s, d, limit=LIMIT, filters=finder.Filters()):
+    return finder.ranked(stored(s, d), _terms(s), limit, filters)
 
 
 def bm25_memory(s, d):
     """Mean length over the whole corpus."""
-    ix = _Index(s, d)
-    avgdl = ix.measured.agg(F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    return _shape(search.bm25(ix.candidates(), ix.weights(), list(TERMS), LIMIT, avgdl))
+    ix, terms = stored(s, d), _terms(s)
+    avgdl = ix.rows("chunks").agg(F.sum(F.size(text.tokens(F.col("content")))).alias("terms"), F.count("*").alias("n"))
+    avgdl = avgdl.select(F.greatest(F.col("terms") / F.col("n"), F.lit(1.0)).alias("avgdl"))
+    return _shape(ix, search.bm25(_candidates(s, d), finder.query_weights(ix, ix.terms(terms), terms), terms, LIMIT, avgdl))
 
 
 def bm25_storage(s, d):
     """Mean length over the candidates."""
-    ix = _Index(s, d)
-    return _shape(search.bm25(ix.candidates(), ix.weights(), list(TERMS), LIMIT))
+    return _shape(stored(s, d), _best(s, d))
 
 
 def bm25_filtered(s, d):
-    ix = _Index(s, d)
-    own = ix.candidates().where(search.path_matches(F.col("path"), **FILTER))
-    return _shape(search.bm25(own, ix.weights(), list(TERMS), LIMIT))
+    return _shape(stored(s, d), _best(s, d, filters=finder.Filters(**FILTER)))
 
 
 def matched_terms(s, d):
-    ix = _Index(s, d)
-    return search.bm25(ix.candidates(), ix.weights(), list(TERMS), None).select("chunk_id", F.array_join("matched_terms", " ").alias("matched_terms"))
+    return _best(s, d, None).select("chunk_id", F.array_join("matched_terms", " ").alias("matched_terms"))
 
 
 def query_idf(s, d):
@@ -295,19 +344,20 @@ def vector_rr(s, d):
     return vectors.nearest(vecs(s, d), _probe(s, d), 20).select("chunk_id", F.round(1.0 / F.col("rank"), 6).alias("score"))
 
 
-def _ranked(s, d):
-    ix = _Index(s, d)
-    return search.bm25(ix.candidates(), ix.weights(), list(TERMS), 2 * LIMIT)
-
-
 def hybrid_fusion(s, d):
     near = vectors.nearest(vecs(s, d), _probe(s, d), 2 * LIMIT)
-    return search.fuse(_ranked(s, d), near, LIMIT).select("chunk_id", F.round("score", 6).alias("score"))
+    return search.fuse(_best(s, d, 2 * LIMIT), near, LIMIT).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+def hybrid_results(s, d):
+    """Fused results with path and lines; chunks without their file drop out."""
+    ix = stored(s, d)
+    return _shape(ix, finder.hybrid(ix, _terms(s), _probe(s, d), LIMIT))
 
 
 def hybrid_bm25_only(s, d):
     none = vecs(s, d).where(F.lit(False)).select("chunk_id", F.lit(1).alias("rank"))
-    return search.fuse(_ranked(s, d), none, LIMIT).select("chunk_id", F.round("score", 6).alias("score"))
+    return search.fuse(_best(s, d, 2 * LIMIT), none, LIMIT).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def vector_upsert(s, d):
@@ -340,10 +390,14 @@ def apply_events(s, d):
     return last.join(known, "path", "left").select("path", "op", F.coalesce("known", F.lit(False)).alias("known"))
 
 
+def debounce_global(s, d):
+    """Each path's last operation in each burst, a burst ending when no path had an event for two seconds."""
+    return watch.debounce_all(watch.relevant(events(s, d)), 2, order=["op"]).select("burst", "path", "op", "last_ts", "events")
+
+
 def _result(s, d):
-    ix = _Index(s, d)
-    top = search.bm25(ix.candidates(), ix.weights(), list(TERMS), LIMIT)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
+    top = search.results(_best(s, d), stored(s, d).rows("chunks"))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))  # the limit's rows
 
 
 def results_json(s, d):
@@ -418,6 +472,20 @@ r AS (SELECT * FROM e WHERE path IS NOT NULL AND op IS NOT NULL AND NOT regexp_m
 """
 
 
+#: The grammar of each extension, pair by pair.
+_GRAMMAR_SQL = """
+m AS (SELECT * FROM (VALUES
+  ('go', 'go'), ('js', 'javascript'), ('javascript', 'javascript'), ('mjs', 'javascript'), ('cjs', 'javascript'), ('ts', 'typescript'), ('typescript', 'typescript'),
+  ('tsx', 'tsx'), ('css', 'css'), ('md', 'markdown'), ('markdown', 'markdown'), ('yaml', 'yaml'), ('yml', 'yaml'), ('toml', 'toml'), ('proto', 'protobuf'),
+  ('protobuf', 'protobuf'), ('json', 'json'), ('py', 'python'), ('python', 'python'), ('rb', 'ruby'), ('ruby', 'ruby'), ('c', 'c'), ('h', 'c'), ('cpp', 'cpp'),
+  ('cc', 'cpp'), ('cxx', 'cpp'), ('hpp', 'cpp'), ('hh', 'cpp'), ('hxx', 'cpp'), ('cs', 'csharp'), ('csharp', 'csharp'), ('sh', 'bash'), ('bash', 'bash'),
+  ('html', 'html'), ('htm', 'html'), ('java', 'java'), ('rs', 'rust'), ('rust', 'rust'), ('swift', 'swift'), ('php', 'php'), ('lua', 'lua'), ('kt', 'kotlin'),
+  ('kotlin', 'kotlin'), ('scala', 'scala'), ('sc', 'scala'), ('groovy', 'groovy'), ('grvy', 'groovy'), ('gy', 'groovy'), ('gvy', 'groovy'), ('ex', 'elixir'),
+  ('exs', 'elixir'), ('elixir', 'elixir'), ('elm', 'elm'), ('ml', 'ocaml'), ('mli', 'ocaml'), ('ocaml', 'ocaml'), ('hcl', 'hcl'), ('cue', 'cue'),
+  ('dockerfile', 'dockerfile'), ('svelte', 'svelte'), ('sql', 'sql')) AS pairs(ext, grammar))
+"""
+
+
 def _chunk_sql(size: int) -> str:
     """Line packing as a recursive walk over each file's lines."""
     return f"""
@@ -485,7 +553,7 @@ UNION ALL SELECT 'chunks', chunk_id FROM c WHERE chunk_id NOT IN (SELECT chunk_i
     "list_files": _with(_BASE, "SELECT path FROM f ORDER BY path"),
     "sha256_hash": _with(_BASE, "SELECT file_id, sha256(content) AS sha256 FROM f"),
     "data_dir_hash": "SELECT DISTINCT path, substr(sha256(path), 1, 16) AS folder FROM (SELECT DISTINCT * FROM projects)",
-    "lang_dim": _with(_BASE, "m AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in scan.LANGUAGES) + "]) AS ext, unnest([" + ", ".join(f"'{x}'" for x in scan.LANGUAGES.values()) + "]) AS grammar)", r"SELECT path, grammar FROM f LEFT JOIN m ON m.ext = lower(regexp_extract(path, '\.([^./]*)$', 1))"),
+    "lang_dim": _with(_BASE, _GRAMMAR_SQL, r"SELECT path, grammar FROM f LEFT JOIN m ON m.ext = lower(regexp_extract(path, '\.([^./]*)$', 1))"),
     "truncate_runes": "SELECT doc_id, substr(text, 1, 100) AS head FROM documents",
     "split_comma": "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS parts FROM documents",
     "knn_l2": _with(_BASE, _NEAR, "SELECT chunk_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM ranked"),
@@ -496,6 +564,19 @@ UNION ALL SELECT 'chunks', chunk_id FROM c WHERE chunk_id NOT IN (SELECT chunk_i
         "SELECT chunk_id, round(score, 6) AS score FROM x ORDER BY x.score DESC, chunk_id LIMIT 10",
     ),
     "hybrid_bm25_only": _with(_BASE, _STORAGE, "b AS (SELECT chunk_id, 0.5 * score / max(score) OVER () AS score FROM (SELECT * FROM r ORDER BY score DESC, chunk_id LIMIT 20))", "SELECT chunk_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, chunk_id LIMIT 10"),
+    "hybrid_results": _with(
+        _BASE, _STORAGE, _NEAR, "b AS (SELECT chunk_id, matched_terms, score / max(score) OVER () AS b FROM (SELECT * FROM r ORDER BY score DESC, chunk_id LIMIT 20))",
+        "x AS (SELECT coalesce(b.chunk_id, ranked.chunk_id) AS chunk_id, coalesce(matched_terms, '') AS matched_terms, 0.5 * coalesce(b, 0) + 0.5 * coalesce(1.0 / rank, 0) AS score FROM b FULL JOIN ranked ON b.chunk_id = ranked.chunk_id)",
+        "t AS (SELECT * FROM x ORDER BY score DESC, chunk_id LIMIT 10)",
+        "SELECT 'file://' || path AS uri, round(score, 6) AS score, matched_terms, start_line, end_line, chunk_id FROM t JOIN c USING (chunk_id) JOIN f USING (file_id)",
+    ),
+    "index_build": _with(
+        _BASE,
+        "SELECT 'files' AS tbl, count(DISTINCT file_id) AS n FROM f UNION ALL SELECT 'chunks', count(DISTINCT chunk_id) FROM c UNION ALL SELECT 'postings', count(*) FROM post"
+        " UNION ALL SELECT 'vectors', count(DISTINCT chunk_id) FROM v UNION ALL SELECT 'idf', count(*) FROM df",
+    ),
+    "store_rebuild": _with(_BASE, "SELECT chunk_id, term, raw_freq, round(tfidf, 6) AS tfidf FROM tfidf"),
+    "store_magnitudes": _with(_BASE, "SELECT c.chunk_id, round(coalesce(m, 0), 6) AS magnitude FROM c LEFT JOIN (SELECT chunk_id, sqrt(sum(tfidf * tfidf)) AS m FROM tfidf GROUP BY chunk_id) x ON x.chunk_id = c.chunk_id"),
     "vector_upsert": _with(_BASE, "SELECT chunk_id, round(CAST(CASE WHEN chunk_id % 3 = 0 THEN embedding[1] * 2 ELSE embedding[1] END AS DOUBLE), 6) AS first, CASE WHEN chunk_id % 3 = 0 THEN 'new' ELSE metadata END AS metadata FROM v WHERE len(embedding) = 96"),
     "vector_delete": _with(_BASE, "SELECT chunk_id FROM v WHERE chunk_id NOT IN (SELECT chunk_id FROM c WHERE file_id % 2 = 0)"),
     "classify_events": _with(_EVENTS, "SELECT path, op, count(*) AS n FROM r GROUP BY ALL"),
@@ -504,10 +585,15 @@ UNION ALL SELECT 'chunks', chunk_id FROM c WHERE chunk_id NOT IN (SELECT chunk_i
         "i AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, op ROWS UNBOUNDED PRECEDING) AS island FROM g)",
         "SELECT path, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(op, (ts, op)) AS op, count(*) AS events FROM i GROUP BY path, island",
     ),
+    "debounce_global": _with(
+        _EVENTS, "g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, path, op) < INTERVAL 2 SECOND THEN 0 ELSE 1 END AS fresh FROM r)",
+        "i AS (SELECT *, sum(fresh) OVER (ORDER BY ts, path, op ROWS UNBOUNDED PRECEDING) AS burst FROM g)",
+        "SELECT CAST(burst AS BIGINT) AS burst, path, arg_max(op, (ts, op)) AS op, max(ts) AS last_ts, count(*) AS events FROM i GROUP BY burst, path",
+    ),
     "apply_events": _with(_EVENTS, "SELECT path, arg_max(op, (ts, seen_at, op)) AS op, path IN (SELECT path FROM files) AS known FROM r GROUP BY path"),
     "results_markdown": _with(
         _BASE, _STORAGE, "t AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM r)",
-        "SELECT CAST(rank AS INTEGER) AS rank, '### ' || rank || '. ' || substr(uri, 8) || ' (L' || start_line || '-L' || end_line || ')' || chr(10) || '```' || chr(10) || regexp_replace(content, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') || chr(10) || '```' || chr(10) AS block FROM t WHERE rank <= 10",
+        "SELECT CAST(rank AS INTEGER) AS rank, '### ' || rank || '. ' || substr(uri, 8) || ' (L' || start_line || '-L' || end_line || ')' || chr(10) || chr(10) || '```' || chr(10) || regexp_replace(content, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') || chr(10) || '```' || chr(10) || chr(10) AS block FROM t WHERE rank <= 10",
     ),
 }
 
@@ -516,7 +602,7 @@ NAMES = (
     " chunk_lines_1000 chunk_lines_200 merge_small_chunks structural_chunks search_candidates bm25_memory bm25_storage bm25_filtered matched_terms query_idf"
     " path_filter ext_filter skip_dirs scan_filters ignore_rules change_detection event_change_detection deleted_paths upsert_files delete_cascade replace_chunks"
     " get_chunk list_chunks_by_file list_files sha256_hash data_dir_hash lang_dim embedding_safe truncate_runes split_comma stem_terms knn_l2 vector_rr"
-    " hybrid_fusion hybrid_bm25_only vector_upsert vector_delete embed_hash classify_events debounce_events apply_events results_json results_markdown"
+    " hybrid_fusion hybrid_results hybrid_bm25_only index_build store_rebuild store_magnitudes store_refresh debounce_global vector_upsert vector_delete embed_hash classify_events debounce_events apply_events results_json results_markdown"
 ).split()
 
 

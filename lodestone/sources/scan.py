@@ -10,15 +10,24 @@ from pyspark.sql import functions as F
 
 #: Folders that are never looked into, at any depth (fixed values).
 SKIPPED = (".git", "node_modules", "vendor", "dist", "build")
-#: Extensions that a scan takes by default and the grammar each stands for (fixed values).
-LANGUAGES: dict[str, str] = {
-    "go": "go", "js": "javascript", "javascript": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
-    "ts": "typescript", "typescript": "typescript", "tsx": "tsx", "css": "css", "html": "html", "htm": "html", "md": "markdown", "markdown": "markdown",
-    "yaml": "yaml", "yml": "yaml", "toml": "toml", "proto": "protobuf", "protobuf": "protobuf", "json": "javascript", "py": "python", "python": "python",
-    "rb": "ruby", "ruby": "ruby", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "java": "java", "cs": "csharp", "rs": "rust",
-    "php": "php", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "sh": "bash", "bash": "bash", "lua": "lua", "sql": "sql",
-    "dockerfile": "dockerfile", "ex": "elixir", "exs": "elixir", "elm": "elm", "groovy": "groovy", "hcl": "hcl", "tf": "hcl", "ml": "ocaml", "mli": "ocaml", "svelte": "svelte", "cue": "cue",
+#: Extensions that a scan takes by default (fixed values; the one without a dot never matches a file's extension).
+SUPPORTED = (
+    ".go", ".js", ".mjs", ".cjs", ".javascript", ".ts", ".tsx", ".typescript", ".css", ".md", ".markdown", ".txt",
+    ".yaml", ".yml", ".toml", ".proto", ".json", ".py", ".python", ".rb", ".ruby",
+    ".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx", ".cs", ".csharp", ".sh", ".bash",
+    ".html", ".htm", ".java", ".rs", ".rust", ".swift", ".php", ".lua", ".kt", ".kotlin", ".scala", ".sc",
+    ".groovy", ".grvy", ".gy", ".gvy", ".ex", ".exs", ".elixir", ".elm", ".ml", ".mli", ".ocaml", ".hcl", ".cue",
+    "dockerfile", ".svelte", ".sql",
+)
+#: The extensions of each grammar (fixed values); text has none.
+GRAMMARS: dict[str, str] = {
+    "go": "go", "javascript": "js javascript mjs cjs", "typescript": "ts typescript", "tsx": "tsx", "css": "css", "markdown": "md markdown",
+    "yaml": "yaml yml", "toml": "toml", "protobuf": "proto protobuf", "json": "json", "python": "py python", "ruby": "rb ruby", "c": "c h",
+    "cpp": "cpp cc cxx hpp hh hxx", "csharp": "cs csharp", "bash": "sh bash", "html": "html htm", "java": "java", "rust": "rs rust", "swift": "swift",
+    "php": "php", "lua": "lua", "kotlin": "kt kotlin", "scala": "scala sc", "groovy": "groovy grvy gy gvy", "elixir": "ex exs elixir", "elm": "elm",
+    "ocaml": "ml mli ocaml", "hcl": "hcl", "cue": "cue", "dockerfile": "dockerfile", "svelte": "svelte", "sql": "sql",
 }
+LANGUAGES: dict[str, str] = {ext: grammar for grammar, own in GRAMMARS.items() for ext in own.split()}
 
 
 def extension(path: Column) -> Column:
@@ -89,27 +98,46 @@ def ignored(relative: Column, rules: list[tuple[bool, str]]) -> Column:
     return c
 
 
-def scan(spark: SparkSession, root: str, max_size: int = 0, extensions: list[str] | None = None, use_ignore: bool = True) -> DataFrame:
-    """``path, relative, size, mtime`` of a root's files. Only metadata is read."""
-    root = os.path.abspath(root)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def _listing(spark: SparkSession, root: str, max_size: int, extensions: list[str] | None, use_ignore: bool) -> DataFrame:
+    """A root's files that a scan takes; what isn't selected of a file, its content above all, isn't read."""
+    found = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
+    )
+    if max_size > 0:
+        found = found.where(F.col("length") <= max_size)  # reaches the scan, which leaves such files unread
     plain = F.regexp_replace("path", "^file:/*", "/")
-    out = found.select(plain.alias("path"), F.substring(plain, len(root) + 2, 1 << 20).alias("relative"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
-    out = out.where(not_skipped(F.col("relative")))
-    if use_ignore and os.path.exists(os.path.join(root, ".gitignore")):
-        with open(os.path.join(root, ".gitignore"), encoding="utf-8", errors="replace") as f:
+    out = found.withColumn("absolute", plain).withColumn("relative", F.substring(plain, len(root) + 2, 1 << 20)).where(not_skipped(F.col("relative")))
+    ignore = os.path.join(root, ".gitignore")
+    if use_ignore and os.path.exists(ignore):
+        with open(ignore, encoding="utf-8", errors="replace") as f:
             out = out.where(~ignored(F.col("relative"), compile_ignore(f.readlines())))
-    if extensions is not None:
-        out = out.where(extension(F.col("path")).isin([e.lower() for e in extensions]))
-    return out.where(F.col("size") <= max_size) if max_size > 0 else out
-
-
-def read_files(spark: SparkSession, root: str, **options) -> DataFrame:
-    """Scanned files with content and hash; unreadable files are left out."""
-    meta = scan(spark, root, **options)
-    data = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(os.path.abspath(root))
-    data = data.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("content").alias("data"))
-    return meta.join(data, "path").select(
-        F.col("relative").alias("path"), F.decode("data", "UTF-8").alias("content"), F.sha2("data", 256).alias("hash"), "size", "mtime",
-        language_for(extension(F.col("relative"))).alias("language"), F.unix_millis(F.current_timestamp()).alias("indexed_at"),
+    return out if extensions is None else out.where(extension(F.col("relative")).isin([e.lower() for e in extensions]))
+
+
+def scan(spark: SparkSession, root: str, max_size: int = 0, extensions: list[str] | None = None, use_ignore: bool = True) -> DataFrame:
+    """``path, relative, size, mtime`` of a root's files. Only metadata is read."""
+    out = _listing(spark, os.path.abspath(root), max_size, extensions, use_ignore)
+    return out.select(F.col("absolute").alias("path"), "relative", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+
+
+def read_files(spark: SparkSession, root: str, max_size: int = 0, extensions: list[str] | None = None, use_ignore: bool = True) -> DataFrame:
+    """Scanned files with content and hash, in one scan; unreadable files are left out.
+
+    Folders, extensions and ignore rules are judged on the path before the
+    content is decoded, and files above ``max_size`` are not opened.
+    """
+    return _contents(_listing(spark, os.path.abspath(root), max_size, extensions, use_ignore))
+
+
+def read_named(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """As ``read_files`` for files given by their whole paths."""
+    found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(paths)
+    relative = F.substring(F.regexp_replace("path", "^file:/*", "/"), len(os.path.abspath(root)) + 2, 1 << 20)
+    return _contents(found.withColumn("relative", relative))
+
+
+def _contents(found: DataFrame) -> DataFrame:
+    return found.select(
+        F.col("relative").alias("path"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"),
+        F.unix_millis("modificationTime").alias("mtime"), language_for(extension(F.col("relative"))).alias("language"), F.unix_millis(F.current_timestamp()).alias("indexed_at"),
     )

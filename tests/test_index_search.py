@@ -1,9 +1,11 @@
+import json
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from lodestone.operators import index, search, vectors
+from lodestone.plans import finder
+from lodestone.plans.store import SCHEMAS, IndexStore
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +36,7 @@ CANDS = [(1, "a.go", "user", 2, 10), (1, "a.go", "get", 1, 10), (2, "b.go", "use
 
 
 def ranked(spark, limit, avgdl=None):
-    cands = spark.createDataFrame([(*c, "text", 1, 2) for c in CANDS], "chunk_id long, path string, term string, raw_freq int, dl int, content string, start_line int, end_line int")
+    cands = spark.createDataFrame(CANDS, "chunk_id long, path string, term string, raw_freq int, dl int")
     weights = spark.createDataFrame([("user", 1.5), ("get", 1.2)], "term string, idf double")
     return search.bm25(cands, weights, ["get", "user"], limit, avgdl).collect()
 
@@ -45,7 +47,7 @@ def test_bm25(spark):
     assert [r["chunk_id"] for r in got] == [1, 2]
     assert got[0]["score"] == pytest.approx(gain(1.5, 2, 10) + gain(1.2, 1, 10))
     assert got[1]["score"] == pytest.approx(gain(1.5, 1, 5))
-    assert got[0]["matched_terms"] == ["get", "user"] and got[0]["uri"] == "file://a.go"
+    assert got[0]["matched_terms"] == ["get", "user"] and got[0]["path"] == "a.go"
     assert ranked(spark, 0) == [] and ranked(spark, -3) == [] and len(ranked(spark, 1)) == 1
 
 
@@ -80,9 +82,49 @@ def test_tables_of_nothing(spark):
     assert index.corpus_size(none).first()["n"] == 1
 
 
-def test_term_filter_reaches_the_scan(spark, tmp_path):
-    chunks = spark.createDataFrame([(1, 1, "get user", 1, 2, 2)], "chunk_id long, file_id long, content string, start_line int, end_line int, dl int")
-    index.postings(chunks).write.parquet(str(tmp_path / "p"))
-    files = spark.createDataFrame([(1, "a.go")], "file_id long, path string")
-    plan = search.candidates(spark.read.parquet(str(tmp_path / "p")), chunks, files, ["get", "id"])._jdf.queryExecution().toString()
-    assert "PushedFilters: [In(term, [get,id])" in plan and F is not None
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    own = IndexStore(spark, str(tmp_path_factory.mktemp("store") / "index"))
+    files = spark.createDataFrame([(1, "src/a.go"), (2, "src/b.py"), (3, "docs/c.md")], "file_id long, path string")
+    files = files.selectExpr("*", "'' AS content", "'' AS hash", "0L AS size", "0L AS mtime", "'' AS language", "0L AS indexed_at")
+    texts = [(10, 1, "func getUser() { user }"), (20, 2, "def get_user(): pass"), (30, 3, "user guide"), (40, 99, "user orphan"), (50, 1, "nothing else")]
+    chunks = spark.createDataFrame([(c, f, t, "text", 1, 2, None, 3) for c, f, t in texts], SCHEMAS["chunks"])
+    own.load(files, chunks, spark.createDataFrame([(10, [0.0, 1.0], None), (50, [1.0, 0.0], None), (999, [1.0, 0.1], None)], SCHEMAS["vectors"]))
+    return own
+
+
+class Axis:
+    def embed(self, texts):
+        return [[1.0, 0.0] for _ in texts]
+
+
+def test_find(store):
+    ids = lambda *a, **k: [r["chunk_id"] for r in finder.find(store, *a, **k).results]
+    assert ids("user") == [10, 30, 20] and ids("get user", limit=1) == [10]
+    first = finder.find(store, "get user").results[0]
+    assert first["uri"] == "file://src/a.go" and first["matched_terms"] == ["get", "user"] and first["content"].startswith("func") and (first["start_line"], first["end_line"]) == (1, 2)
+    assert ids("user", filters=finder.Filters(extensions=["go"])) == [10] and ids("user", filters=finder.Filters("src/", [], ["b.py"])) == [10]
+    assert finder.find(store, "-- !").message == "No search terms." and finder.find(store, "zebra").message == "No matches."
+    assert finder.find(store, "user", filters=finder.Filters("zzz")).message == "No matches after filters." and finder.find(store, "user", filters=finder.Filters(exclude=[""])).message == "No matches after filters."
+    assert finder.find(store, "user", limit=0) == finder.Answer([]) and finder.find(store, "orphan").message == "No matches."
+
+
+def test_find_fused(store):
+    got = finder.find(store, "user", limit=5, provider=Axis()).results
+    # 50 is nearest by vector, 999 isn't in the index; 10 is third by vector and best by words
+    assert [r["chunk_id"] for r in got][:2] == [10, 50] and 999 not in {r["chunk_id"] for r in got}
+    assert got[1]["matched_terms"] == [] and got[1]["uri"] == "file://src/a.go" and got[1]["score"] == pytest.approx(0.5)
+    assert got[0]["score"] == pytest.approx(0.5 + 0.5 / 3)
+
+
+def test_rendering(store):
+    rows = finder.find(store, "guide").results
+    assert finder.as_markdown(store, rows, "/r") == "### 1. /r/docs/c.md (L1-L2)\n\n```\nuser guide\n```\n\n"
+    assert finder.as_markdown(store, rows, content=False) == "### 1. docs/c.md (L1-L2)\n\n"
+    one = json.loads(finder.as_json(store, rows, "/r"))["results"][0]
+    assert one["path"] == "/r/docs/c.md" and one["uri"] == "file://docs/c.md" and "content" not in one and one["matched_terms"] == ["guide"]
+
+
+def test_term_filter_reaches_the_scan(store):
+    plan = store.terms(["get", "id"])._jdf.queryExecution().toString()
+    assert "In(term, [get,id])" in plan and "PartitionFilters: [isnotnull(bucket" in plan.replace("bucket#", "bucket#") or "PartitionFilters: [bucket" in plan

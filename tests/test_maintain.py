@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import maintain
-from lodestone.plans.store import IndexStore, ProjectMetadata
+from lodestone.plans.store import SCHEMAS, Conflict, IndexStore, ProjectMetadata
 from lodestone.sources import embeddings, scan
 from lodestone.streaming import watch
 
@@ -63,6 +63,7 @@ def test_incremental_equals_rebuild(spark, store, tmp_path):
     ids = dict(content(store, "files", "path", "file_id"))
     assert store.refresh(second) == {"indexed": 2, "removed": 0}
     assert dict(content(store, "files", "path", "file_id"))["b.go"] == ids["b.go"]
+    assert store.status()["chunks"] == store.table("chunks").count() and store.status()["files"] == 3
     other = IndexStore(spark, str(tmp_path / "other"))
     other.refresh(second)
     for name, cols in (("files", ("path", "hash")), ("chunks", ("chunk_id", "content", "start_line", "end_line", "token_count")), ("postings", ("chunk_id", "term", "raw_freq"))):
@@ -75,14 +76,78 @@ def test_incremental_equals_rebuild(spark, store, tmp_path):
 
 def test_a_failing_commit_leaves_the_old_snapshot(spark, store):
     store.refresh(rows(spark, ("a.go", "x y z", 1)))
-    before = store.version
+    before, held = store.version, store.folder.names("files")
     with pytest.raises(Exception):
-        store.commit({"files": store.table("files").withColumn("size", F.raise_error(F.lit("no")).cast("long"))})
+        store.commit({"files": store.table("files"), "chunks": store.rows("chunks").withColumn("type", F.raise_error(F.lit("no")))})
     assert store.version == before and store.table("files").count() == 1
+    assert store.folder.names("files") == held or store.folder.names("files") == []
 
 
-def test_metadata(tmp_path):
-    m = ProjectMetadata(str(tmp_path))
+def test_of_two_writers_the_second_fails(spark, store, monkeypatch):
+    store.refresh(rows(spark, ("a.go", "x y z", 1)))
+    late = store.version - 1
+    monkeypatch.setattr(IndexStore, "version", property(lambda self: late))
+    with pytest.raises(Conflict):
+        store._publish(late + 1, {"segments": {}})
+
+
+def test_a_commit_writes_what_changed(spark, store):
+    store.refresh(rows(spark, *[(f"{i}.go", f"package p{i}\nfunc F{i}() {{}}\n", 1) for i in range(20)]))
+    assert store.refresh(rows(spark, *[(f"{i}.go", f"package p{i}\nfunc F{i}() {{}}\n" if i else "package changed\n", 1) for i in range(20)]))["indexed"] == 1
+    last = store.manifest()["segments"]["files"][-1]
+    assert spark.read.parquet(f"{store.folder.path}/files/{last}").count() == 1 and store.rows("files").count() == 20
+    assert store.terms(["changed"]).count() == 1 and store.terms(["p0"]).count() == 0 and store.terms(["nosuch"]).count() == 0
+
+
+def test_rebuild_compact_vacuum(spark, store):
+    store.load(
+        spark.createDataFrame([(1, "a.go", "", "", 1, 1, "go", 1)], "file_id long, path string, content string, hash string, size long, mtime long, language string, indexed_at long"),
+        spark.createDataFrame([(1, 1, "get user", "text", 1, 1, None, 2), (2, 1, "user id", "text", 1, 1, None, 2), (3, 9, "-", "text", 1, 1, None, 0)], SCHEMAS["chunks"]),
+    )
+    assert {r["tfidf"] for r in store.rows("postings").collect()} == {None}
+    store.manifest()
+    store.commit({"gone_chunks": spark.createDataFrame([(3,)], "chunk_id long")})
+    store.rebuild()
+    assert {r["term"]: round(r["idf"], 10) for r in store.rows("idf").collect()} == {"get": 1.4054651081, "user": 1.0, "id": 1.4054651081}
+    assert {(r["chunk_id"], r["term"]): round(r["tfidf"], 10) for r in store.rows("postings").collect()} == {(1, "get"): 0.7027325541, (1, "user"): 0.5, (2, "user"): 0.5, (2, "id"): 0.7027325541}
+    assert {r["chunk_id"]: round(r["magnitude"], 10) for r in store.table("chunks").collect()} == {1: 0.8624575598, 2: 0.8624575598}
+    before = content(store, "postings", "chunk_id", "term", "tfidf")
+    store.compact()
+    assert content(store, "postings", "chunk_id", "term", "tfidf") == before and store.manifest()["segments"]["gone_chunks"] == []
+    assert store.vacuum() > 0 and content(store, "postings", "chunk_id", "term", "tfidf") == before
+    assert all(len(store.folder.names(n)) <= 1 for n in SCHEMAS)
+
+
+def test_put_chunks_and_vectors(spark, store):
+    store.refresh(rows(spark, ("a.go", "x yy zz", 1)))
+    own = store.file("a.go").first()["file_id"]
+    new = lambda f: spark.createDataFrame([(77, f, "fresh words", "text", 1, 1, None)], "chunk_id long, file_id long, content string, type string, start_line int, end_line int, metadata string")
+    with pytest.raises(KeyError, match="file not found"):
+        store.put_chunks(new(12345))
+    store.put_chunks(new(own))
+    assert [r["chunk_id"] for r in store.rows("chunks").collect()] == [77] and store.terms(["yy"]).count() == 0 and store.terms(["fresh"]).first()["file_id"] == own
+    vector = lambda v: spark.createDataFrame([(77, v, "m")], SCHEMAS["vectors"])
+    store.put_vectors(vector([1.0, 2.0]), 2)
+    store.put_vectors(vector([3.0, 4.0]), 2)
+    assert [r["embedding"] for r in store.rows("vectors").collect()] == [[3.0, 4.0]]
+    with pytest.raises(Exception, match="dimension"):
+        store.put_vectors(vector([1.0]), 2)
+    store.delete_vectors(vector([]))
+    assert store.rows("vectors").count() == 0
+    assert store.apply(None) == store.version and store.file("nosuch").first() is None
+
+
+def test_migrations_run_once(spark, store, monkeypatch):
+    from lodestone.plans import store as module
+
+    assert store.migrate() == [] and store.manifest()["migrations"] == ["001_schema"]
+    monkeypatch.setitem(module.MIGRATIONS, "002_note", lambda m: m | {"note": 1})
+    again = IndexStore(spark, store.folder.path)
+    assert again.manifest()["note"] == 1 and again.migrate() == [] and again.manifest()["migrations"] == ["001_schema", "002_note"]
+
+
+def test_metadata(spark, tmp_path):
+    m = ProjectMetadata(spark, str(tmp_path))
     assert m.read() is None
     m.set_rebuilt()
     assert m.read() is None
@@ -150,4 +215,4 @@ def test_stream(spark, store, tmp_path):
     assert store.table("files").count() == 2
     run([("a.go", "write", 2), ("b.go", "remove", 3)], "2")
     assert [r["path"] for r in store.table("files").collect()] == ["a.go"]
-    assert os.path.exists(store.folder)
+    assert os.path.exists(store.folder.path)
