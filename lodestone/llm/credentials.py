@@ -1,11 +1,12 @@
 """Find credentials in source text and take them out.
 
 Quoted strings and long tokens are candidates. Each is held against a Shannon
-entropy threshold that depends on its alphabet and length; a telling context
-(a name such as ``api_key``, a URL's user part, an Authorization header, a
-note about a password) lowers the threshold, no context leaves only known
-token formats and private keys. Hashes, ids, identifiers, references and
-placeholders are left out.
+entropy threshold: a share of what a random string of its alphabet and length
+has on average. In a telling context (a name such as ``api_key``, a URL's user
+part, an Authorization header, a note about a password) a smaller share is
+enough; a long token that stands alone needs nearly all of it. Known formats
+and private keys need none. Hashes, ids, identifiers, references, addresses,
+embedded data and placeholders are left out.
 
 Defined cases: null or empty text holds nothing; a key of several lines counts
 at its first line; a line counts once whatever it holds; repeated rows give a
@@ -14,6 +15,7 @@ result each (queries drop them); columns besides key and text are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -93,8 +95,20 @@ _UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-
 _HEX = re.compile(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
 _IDENT = re.compile(r"^[A-Za-z]+(?:[_.\-/:][A-Za-z]+)*$|^[a-z]+(?:[A-Z][a-z]+)+$|^[A-Za-z][\w.]*\($")
 _WORDS_NUM = re.compile(r"^(?:[A-Za-z]{3,}[._\-!@#$%^&*+~]?)+\d{2,}\w{0,2}[!?.]?$")
-#: Least entropy in bits a character by alphabet, for long tokens.
-_LEAST = {"hex": 2.7, "base64": 3.3}
+#: What a random string of an alphabet reaches on average is ``expected``; a credential must reach this share of it:
+#: in a telling context, and where nothing around it tells.
+TOLD, ALONE = 0.70, 0.93
+#: Characters of each alphabet.
+_SIZES = {"hex": 16, "base64": 64}
+#: Long tokens, which are candidates wherever they stand, quoted or bare.
+_TOKEN = re.compile(r"(?<![\w+/=.\-~$@%&#:\\])[A-Za-z0-9+/_\-=.~]{20,}(?![\w+/=\-~(\[{:$@%&#\\])")
+#: Names and prefixes of values that are random and no secret: hashes, ids, public parts, data (fixed values).
+_OPEN = re.compile(
+    r"(?i)(?:integrity|checksum|hash|digest|sha\d*|md5|crc|etag|commit|revision|rev|uuid|guid|request|trace|span|correlation|build|nonce|fingerprint|public|cert\w*|ssh-\w+|signature|icon|image|data|base64|font|sprite|seed|version|\bid|_id)"
+    r"[\w\-]*[\"'\])]{0,2}\s{0,4}(?::=|=>|=|:|,|\s)\s{0,4}[rbuf@$]{0,2}[\"'`]?$|sha\d+[-:=]$|;base64,$|://\S*$"
+)
+_WORD = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
+_BASE64_LINE = re.compile(r"[\s\"'`,+;)(\\n]*[A-Za-z0-9+/=_\-]{16,}[\s\"'`,+;)(\\n]*")
 
 
 def entropy(s: str) -> float:
@@ -102,11 +116,31 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
-def threshold(s: str) -> float:
+@functools.lru_cache(maxsize=4096)
+def expected(n: int, size: int) -> float:
+    """Mean entropy of ``n`` random characters of an alphabet of ``size``: a short string can't reach its alphabet's."""
+    if n < 2:
+        return 0.0
+    total, p = 0.0, 1 / size
+    chance = n * p * (1 - p) ** (n - 1)  # of a character that is there once, then twice, ...
+    for k in range(1, min(n, 16 + 4 * n // size) + 1):
+        total += chance * k * math.log2(k)
+        chance *= (n - k) / (k + 1) * p / (1 - p)
+    return math.log2(n) - size * total / n
+
+
+def threshold(s: str, share: float = TOLD) -> float:
     """Least entropy of a secret in ``s``'s alphabet and of its length."""
-    base = _LEAST["hex" if _HEX.match(s) else "base64"]
-    # a short string can't reach the entropy of its alphabet
-    return min(base, 0.78 * math.log2(max(2, len(s))))
+    return share * expected(len(s), _SIZES["hex" if _HEX.match(s) else "base64"])
+
+
+def alone(v: str, before: str) -> bool:
+    """Whether a long token is a credential though nothing around it tells: its entropy is what random ones have, and it is no hash, id, identifier, address, data or placeholder."""
+    if _HEX.match(v) or _UUID.match(v) or placeholder(v) or not (any(map(str.isdigit, v)) and any(map(str.isupper, v)) and any(map(str.islower, v))):
+        return False
+    if sum(map(len, _WORD.findall(v))) > 0.4 * len(v) or _OPEN.search(before):
+        return False
+    return entropy(v) >= threshold(v, ALONE)
 
 
 def placeholder(v: str) -> bool:
@@ -149,6 +183,29 @@ def _decoded(v: str) -> bool:
     return bool(user and password) and not placeholder(password)
 
 
+def alone_in(text: str) -> list[tuple[int, int]]:
+    """Start and end of each long token that stands for a credential by its entropy.
+
+    Several in one line are data, and so is a line of nothing else: a piece of
+    something longer.
+    """
+    found = []
+    for m in _TOKEN.finditer(text):
+        v = m.group().rstrip(".-")
+        begin = text.rfind("\n", 0, m.start()) + 1
+        if alone(v, text[max(begin, m.start() - 80) : m.start()]):
+            found.append((begin, m.start(), m.start() + len(v)))
+    out = []
+    for k, (begin, a, b) in enumerate(found):
+        if k and found[k - 1][0] == begin or k + 1 < len(found) and found[k + 1][0] == begin:
+            continue
+        end = text.find("\n", b)
+        end = len(text) if end < 0 else end
+        if not _BASE64_LINE.fullmatch(text, begin, end):
+            out.append((a, b))
+    return out
+
+
 def line_spans(line: str) -> list[tuple[int, int]]:
     """Start and end of each credential in a line, but for private keys."""
     spans = [m.span() for m in KNOWN.finditer(line) if not placeholder(m.group())]
@@ -285,6 +342,10 @@ def find_in(text: str) -> list[tuple[int, int, int]]:
         number += text.count("\n", counted, start)
         counted = start
         found += [(number, start + a, start + b) for a, b in line_spans(line) if not any(x <= start + a < y for x, y in keys)]
+    taken = [(a, b) for _, a, b in found] + keys
+    for a, b in alone_in(text):
+        if not any(x < b and a < y for x, y in taken):
+            found.append((text.count("\n", 0, a) + 1, a, b))
     return sorted(set(found))
 
 
