@@ -99,23 +99,24 @@ def begins(b: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, pa.Array]]:
-    """Runs of texts of bounded size: first and end row, pre-tokens a text, and all pre-tokens in order."""
+def text_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts of bounded size: first and end row, their bytes, and where in these each text begins and the last ends."""
     texts = pc.fill_null(texts, "")
-    if pa.types.is_large_string(texts.type):
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)
-    else:
-        offsets = np.frombuffer(texts.buffers()[1], np.int32).astype(np.int64)
-    offsets = offsets[texts.offset : texts.offset + len(texts) + 1]
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], kind).astype(np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
-    bytes_ = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     a = 0
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_BYTES, side="right")) - 1)
-        own = bytes_[offsets[a] : offsets[b]]
-        edges = offsets[a : b + 1] - offsets[a]
+        yield a, b, whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        a = b
+
+
+def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, pa.Array]]:
+    """Runs of texts of bounded size: first and end row, pre-tokens a text, and all pre-tokens in order."""
+    for a, b, own, edges in text_blocks(texts):
         at = begins(own, edges[:-1][np.diff(edges) > 0])
         counts = np.diff(np.searchsorted(at, edges))
         places = pa.py_buffer(np.append(at, len(own)).astype(np.int32))
         yield a, b, counts, pa.StringArray.from_buffers(len(at), places, pa.py_buffer(own))
-        a = b

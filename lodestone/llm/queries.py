@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import stuffed_pages
 from lodestone.llm.corpus_encode import count_tokens, encode_corpus, tokenizer_path
 from lodestone.llm.credentials import find_credentials
 from lodestone.llm.garbled import find_garbled, fit_on
@@ -99,7 +100,8 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_stuffed(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id").distinct()
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_stuffed(docs, stuffed_pages.fit_on(docs)).select("doc_id").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

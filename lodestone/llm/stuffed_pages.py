@@ -1,14 +1,16 @@
 """Flag pages of repeated keywords, bare links or tags.
 
-Each line gives one observation (a sentence, a bare link, a list of short
-phrases, a log line, ...). A hidden Markov model labels the lines as prose,
-links, tags, menu or technical text, so that an ambiguous short line takes
-the label of the lines around it. A page is flagged if more than half of its
-words stand in links, tags and menus.
+A hidden Markov model labels the lines of a page as prose, links, tags, menu,
+pitch or technical text from plain features (``line_features``): length, first and
+last character, share of links, separators, function words, repetition. Its
+probabilities are counts over a bounded sample of pages whose lines are
+labelled by rules (``observe``); over all pages only the model decides. A page
+is flagged if more than half of its words stand in links, tags, menus and pitches.
 
 Defined cases: null, empty and blank text is not flagged; repeated rows give a
 result each (queries drop them); columns besides key and text are ignored; a
-line of any length is one observation.
+line of any length has one label; without any page to fit on, nothing is
+flagged.
 """
 
 from __future__ import annotations
@@ -17,21 +19,29 @@ import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.line_features import FEATURES, WIDTH, Lines, lines_of
+
 SHARE = 0.5
-#: Texts of fewer words are no pages.
-LEAST_WORDS = 8
-PROSE, LINKS, TAGS, MENU, TECH = range(5)
-STATES = ("prose", "links", "tags", "menu", "technical")
-#: Observations of a line.
+#: Pages that the model is fitted on at most (documented bound; the least by hash of their key).
+SAMPLE_ROWS = 4000
+#: Weight of the features: they overlap, so each counts less than it would alone. Added to every count.
+TEMPER, SMOOTH = 0.5, 0.5
+PROSE, LINKS, TAGS, MENU, TECH, PITCH = range(6)
+STATES = ("prose", "links", "tags", "menu", "technical", "pitch")  # a pitch insists on keywords in sentences
+#: Such pages are few: a reading of the whole text in these states alone must be less likely by this (log probability).
+ORDINARY, MARGIN = (PROSE, TECH), 2.5
+#: What the rules see in a line of the sample.
 SYMBOLS = ("sentence", "heading", "short", "link", "anchor", "described", "phrases", "tags", "offer", "stuffed", "technical")
 _CODE = {s: i for i, s in enumerate(SYMBOLS)}
-#: Probability of each observation in each state (rows: observations; columns: STATES).
+#: Probability of each of these in each state, for labelling the sample (rows: what is seen; columns: the first five STATES).
 EMISSION = (
     (0.560, 0.010, 0.010, 0.010, 0.060),  # sentence
     (0.150, 0.050, 0.050, 0.060, 0.050),  # heading
@@ -158,7 +168,7 @@ def _same_form(a: list[str], b: list[str]) -> bool:
 
 
 _LOG_E = [[math.log(p) for p in row] for row in EMISSION]
-_LOG_STAY, _LOG_MOVE = math.log(STAY), math.log((1 - STAY) / (len(STATES) - 1))
+_LOG_STAY, _LOG_MOVE = math.log(STAY), math.log((1 - STAY) / (len(START) - 1))
 
 
 def weight(n: int) -> int:
@@ -189,35 +199,126 @@ def viterbi(seen: tuple[tuple[int, int], ...]) -> tuple[int, ...]:
     return tuple(reversed(path))
 
 
-_SUSPECT = {_CODE[s] for s in ("short", "link", "anchor", "phrases", "tags", "offer", "stuffed")}
-
-
-def label(text: str) -> list[tuple[str, int, int]]:
-    """``(line, observation, state)`` of each line that isn't blank."""
-    got = [(x, o) for x in _BREAK.split(text) if (o := observe(x))]
-    if not got:
+def labelled(lines: list[str]) -> list[int]:
+    """States of the lines of one page of the sample, by the rules."""
+    seen = [observe(x) or (_CODE["short"], 1) for x in lines]
+    if not seen:
         return []
-    return [(x, o[0], s) for (x, o), s in zip(got, viterbi(tuple((o, weight(n)) for _, (o, n) in got)))]
+    states = viterbi(tuple((o, weight(n)) for o, n in seen))
+    return [PITCH if o == _CODE["stuffed"] and s in (TAGS, MENU) else s for (o, _), s in zip(seen, states)]
+
+
+@dataclass(frozen=True)
+class Model:
+    """Log probabilities: of the first line's state, of the next state, and of each feature's value in each state."""
+
+    start: np.ndarray  #: STATES
+    move: np.ndarray  #: STATES x STATES, from and to
+    emit: np.ndarray  #: FEATURES x WIDTH x STATES
+
+    @classmethod
+    def of_counts(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
+        log = lambda x, axis: np.log((x + SMOOTH) / (x + SMOOTH).sum(axis, keepdims=True))
+        return cls(log(start, 0), log(move, 1), log(emit, 1))
+
+    def states(self, lines: Lines) -> np.ndarray:
+        """The likeliest state of each line."""
+        return self._best(lines, range(len(STATES)))[0]
+
+    def _best(self, lines: Lines, among: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The likeliest states and each text's log probability: all texts step through their lines together."""
+        among = list(among)
+        counts = np.bincount(lines.text, minlength=lines.texts)
+        order = np.argsort(-counts, kind="stable")
+        order = order[: np.count_nonzero(counts)]
+        total, out = np.zeros(lines.texts), np.empty(len(lines.text), np.uint8)
+        if not len(order):
+            return out, total
+        first, sizes = (np.cumsum(counts) - counts)[order], counts[order]
+        own = sum(self.emit[f][:, among][lines.features[:, f]] for f in range(len(FEATURES)))
+        own = own * (TEMPER * (1 + np.minimum(5, lines.words // 12)))[:, None]  # long lines weigh more
+        move = self.move[np.ix_(among, among)]
+        back = np.zeros((len(own), len(among)), np.uint8)
+        score = self.start[among] + own[first]
+        last = score.copy()
+        active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")  # texts of at least so many lines
+        for t in range(1, sizes[0]):
+            k = active[t]
+            ways = score[:k, :, None] + move
+            back[first[:k] + t] = best = ways.argmax(1)
+            score = np.take_along_axis(ways, best[:, None, :], 1)[:, 0] + own[first[:k] + t]
+            last[:k] = score
+        total[order] = last.max(1)
+        state = last.argmax(1)
+        names = np.array(among, np.uint8)
+        for t in range(sizes[0] - 1, -1, -1):
+            k = active[t]
+            out[first[:k] + t] = names[state[:k]]
+            if t:
+                state[:k] = back[first[:k] + t, state[:k]]
+        return out, total
+
+    def shares(self, lines: Lines) -> np.ndarray:
+        """Per text, the share of its words in lines labelled links, tags, menu or pitch; 0 where an ordinary reading is nearly as likely."""
+        state, score = self._best(lines, range(len(STATES)))
+        ordinary = self._best(lines, ORDINARY)[1]
+        aside = ~np.isin(state, ORDINARY)
+        total = np.bincount(lines.text, lines.words, lines.texts)
+        share = np.bincount(lines.text, lines.words * aside, lines.texts) / np.maximum(total, 1)
+        return np.where(score - ordinary > MARGIN, share, 0.0)
+
+
+_SHAPES = ((len(STATES),), (len(STATES), len(STATES)), (len(FEATURES), WIDTH, len(STATES)))
+
+
+def count_lines(texts: pa.Array) -> list[np.ndarray]:
+    """First states, moves and values by state, counted over texts whose lines the rules label."""
+    start, move, emit = (np.zeros(s) for s in _SHAPES)
+    for lines in lines_of(texts):
+        own = [bytes(lines.data[a:b]).decode("utf-8", "replace").rstrip("\r\n\u2028\u2029") for a, b in zip(lines.begin, lines.end)]
+        cuts = np.flatnonzero(np.diff(lines.text, prepend=-1, append=-2)) if len(lines.text) else []
+        state = np.array([s for a, b in zip(cuts, cuts[1:]) for s in labelled(own[a:b])], np.int64)
+        if not len(state):
+            continue
+        np.add.at(start, state[cuts[:-1]], 1)
+        same = np.flatnonzero(np.diff(lines.text) == 0)
+        np.add.at(move, (state[same], state[same + 1]), 1)
+        for f in range(len(FEATURES)):
+            np.add.at(emit[f], (lines.features[:, f], state), 1)
+    return [start, move, emit]
+
+
+def fit_on(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """Fit on the SAMPLE_ROWS pages with the least key hashes; what reaches the driver is a number for each probability."""
+    h = F.xxhash64(key)
+    least = docs.select(h.alias("h")).orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(map(math.prod, _SHAPES))
+        counts = np.zeros(total)
+        for batch in batches:
+            counts += np.concatenate([x.reshape(-1) for x in count_lines(batch.column(0))])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total)), pa.array(counts)], names=["at", "n"])
 
-def stuffed_share(text: str) -> float:
-    """Share of a text's words in lines labelled links, tags or menu."""
-    got = [o for x in _BREAK.split(text) if (o := observe(x))]
-    total = sum(n for _, n in got)
-    if total < LEAST_WORDS or not any(s in _SUSPECT for s, _ in got):
-        return 0.0
-    states = viterbi(tuple((s, weight(n)) for s, n in got))
-    return sum(n for (_, n), state in zip(got, states) if state in (LINKS, TAGS, MENU)) / total
+    flat = np.zeros(sum(map(math.prod, _SHAPES)))
+    if least is not None:
+        rows = docs.where((h <= least) & (F.length(F.trim(text)) > 0)).select(text)
+        table = rows.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        flat[np.asarray(table["at"])] = np.asarray(table["n"])
+    parts = np.split(flat, np.cumsum([math.prod(s) for s in _SHAPES])[:-1])
+    return Model.of_counts(*(p.reshape(s) for p, s in zip(parts, _SHAPES)))
 
 
-def find_stuffed(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
+def find_stuffed(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """``key, share`` of the pages with more than ``share`` of their words outside prose."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred numbers, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [stuffed_share(x) for x in batch.column(1).to_pylist()]
-            at = pa.array([i for i, s in enumerate(got) if s > share], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([s for s in got if s > share], pa.float64())], names=["key", "share"])
+            for lines in lines_of(batch.column(1)):
+                got = shared.value.shares(lines)
+                at = np.flatnonzero(got > share)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lines.first, lines.texts).take(pa.array(at)), pa.array(got[at])], names=["key", "share"])
 
     kind = docs.schema[key].dataType.simpleString()
     return (
