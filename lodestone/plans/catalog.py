@@ -597,6 +597,39 @@ UNION ALL SELECT 'chunks', chunk_id FROM c WHERE chunk_id NOT IN (SELECT chunk_i
     ),
 }
 
+#: Printing characters and separators.
+_PRINTS = r"[\p{L}\p{M}\p{N}\p{P}\p{S}\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SQL |= {
+    "results_json": _with(
+        _BASE, _STORAGE, "t AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM r)",
+        "SELECT CAST(rank AS INTEGER) AS rank, CAST(to_json({'uri': uri, 'path': substr(uri, 8), 'score': round(score, 3), 'start_line': start_line, 'end_line': end_line, 'matched_terms': terms}) AS VARCHAR) AS json FROM t WHERE rank <= 10",
+    ),
+    "embedding_safe": f"SELECT doc_id FROM documents WHERE length(text) = 0 OR NOT contains(text, chr(0)) AND len(regexp_extract_all(text, '{_PRINTS}')) / length(text) >= 0.85",
+    "ignore_rules": _with(
+        _BASE, "x AS (SELECT path, regexp_replace(path, '^[^/]*/', '') AS p FROM f)",
+        r"""SELECT path FROM x WHERE NOT CASE WHEN regexp_matches(p, '(^|/)build[^/](/|$)') THEN true WHEN regexp_matches(p, '(^|/)keep_[^/]*(/|$)') THEN false
+ELSE regexp_matches(p, '^tests/') OR regexp_matches(p, '^docs/') OR regexp_matches(p, '(^|/)[^/]*\.min\.js(/|$)') END""",
+    ),
+    "merge_small_chunks": f"""
+WITH RECURSIVE c AS ({_chunk_sql(200)}),
+g AS (
+  SELECT file_id, ordinal, content, start_line, end_line, 0 AS part FROM c WHERE ordinal = 0
+  UNION ALL
+  SELECT file_id, next, CASE WHEN fits THEN content || chr(10) || more ELSE more END, CASE WHEN fits THEN start_line ELSE from_line END, to_line, part + CASE WHEN fits THEN 0 ELSE 1 END
+  FROM (SELECT g.*, c.ordinal AS next, c.content AS more, c.start_line AS from_line, c.end_line AS to_line,
+          strlen(g.content) + 1 + strlen(c.content) <= 1000 AND g.end_line + 1 >= c.start_line AS fits FROM g JOIN c ON c.file_id = g.file_id AND c.ordinal = g.ordinal + 1)
+)
+SELECT file_id, part AS ordinal, arg_max(content, ordinal) AS content, 'text' AS type, min(start_line) AS start_line, max(end_line) AS end_line FROM g GROUP BY file_id, part
+""",
+    "store_refresh": f"""
+WITH RECURSIVE c AS ({_chunk_sql(1000)}),
+k AS (SELECT file_id, count(*) AS chunks, sum(len({_tok("content")})) AS terms FROM c GROUP BY file_id),
+f AS (SELECT DISTINCT * FROM files),{_SCANNED}
+SELECT s.path, CASE WHEN n.path IS NULL THEN f.hash ELSE s.hash END AS hash, CASE WHEN n.path IS NULL THEN f.mtime ELSE s.mtime END AS mtime, coalesce(chunks, 0) AS chunks, CAST(coalesce(terms, 0) AS BIGINT) AS terms
+FROM s JOIN f ON f.path = s.path LEFT JOIN (SELECT path FROM new) n ON n.path = s.path LEFT JOIN k ON k.file_id = f.file_id WHERE f.content IS NOT NULL
+""",
+}
+
 NAMES = (
     "tokenize_terms token_counts tokenize_identifier_edges postings_tf doc_freqs_list doc_freqs_all idf_all tfidf_vectors chunk_magnitude index_stats"
     " chunk_lines_1000 chunk_lines_200 merge_small_chunks structural_chunks search_candidates bm25_memory bm25_storage bm25_filtered matched_terms query_idf"
