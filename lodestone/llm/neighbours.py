@@ -1,7 +1,9 @@
 """The k most similar vectors of every vector, by a forest of hash prefixes.
 
 Each tree gives a vector a long string of hyperplane bits. The strings of a
-tree form a sorted array, kept in range partitions. A run of the array with a
+tree form a sorted array, kept in partitions whose borders are quantiles of a
+sample; vectors travel as 16-bit numbers (an error of some 1e-6 in a
+similarity). A run of the array with a
 common prefix is descended into while it is larger than a leaf; neighbouring
 small runs ascend to their common prefix again as long as they fit in one
 leaf. Within a leaf all similarities are computed at once. The best of all
@@ -31,11 +33,14 @@ from pyspark.sql.window import Window
 
 from lodestone.session import default_parallelism, materialize
 
-TREES, BITS, LEAF = 16, 128, 2048
-#: Rows of sorted arrays in a range partition, and rows held in memory at once.
-PARTITION_ROWS, HELD_ROWS = 50_000, 65_536
-#: Rows that others are compared with at once, and the difference of similarities that rounding makes.
-WINDOW, EQUAL = 16_384, 1e-6
+#: A larger leaf costs more products, another tree a further copy of the vectors in the shuffle.
+TREES, BITS, LEAF = 5, 128, 16_384
+#: Rows of sorted arrays in a partition, and rows held in memory at once.
+PARTITION_ROWS, HELD_ROWS = 131_072, 65_536
+#: Rows compared at once, those that they are compared with, and the difference of similarities that rounding makes.
+BLOCK, WINDOW, EQUAL = 1024, 16_384, 1e-6
+#: Hashes of a sample that each border between partitions is chosen from.
+SAMPLED = 64
 SEED = 20_011
 
 
@@ -56,11 +61,25 @@ def _planes(dims: int, trees: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    x = np.asarray(column.flatten(), dtype=np.float32).reshape(-1, dims)
+    """Unit vectors of lists of floats, or of packed ones."""
+    if pa.types.is_binary(column.type):
+        x = np.frombuffer(b"".join(column.to_pylist()), dtype="<i2").astype(np.float32).reshape(-1, dims)
+    else:
+        x = np.asarray(column.flatten(), dtype=np.float32).reshape(-1, dims)
     n = np.sqrt((x.astype(np.float64) ** 2).sum(1, keepdims=True))
     return (x / n).astype(np.float32)
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows as 16-bit numbers, the largest value of each at the end of their range; their length doesn't matter."""
+    q = np.rint(x * (32767 / np.abs(x).max(1, keepdims=True))).astype("<i2")
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(q))]).cast(pa.binary())
+
+
+def _hashes(x: np.ndarray, planes: np.ndarray, tree: int) -> np.ndarray:
+    return np.packbits(x @ planes[:, tree * BITS : (tree + 1) * BITS] > 0, axis=1).view(f"S{BITS // 8}").reshape(-1)
+
+
 def _runs(bits: np.ndarray, lo: int, hi: int, leaf: int) -> list[tuple[int, int]]:
     """The sorted rows ``lo..hi`` as runs of at most ``leaf`` rows, or of rows equal in all bits."""
     out: list[tuple[int, int]] = []
@@ -78,7 +97,7 @@ def _runs(bits: np.ndarray, lo: int, hi: int, leaf: int) -> list[tuple[int, int]
     return out
 
 
-def _best(ids: np.ndarray, x: np.ndarray, k: int, least: float, block: int = LEAF, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _best(ids: np.ndarray, x: np.ndarray, k: int, least: float, block: int = BLOCK, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per row of ``x`` its ``k`` best others of each window: row numbers, their ids, similarities."""
     for a in range(0, len(x), block):
         for w in range(0, len(x), window):
@@ -125,7 +144,8 @@ NEAR = "id bigint, near array<struct<s: float, o: bigint>>"
 def forest_neighbours(vectors: DataFrame, k: int, least: float, dims: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """``id, near`` with up to ``k`` others of similarity ``least`` or more, for distinct ``id, v``."""
     rows = vectors.count()
-    parts = max(default_parallelism(vectors.sparkSession), -(-rows * trees // PARTITION_ROWS))
+    per = max(1, -(-max(default_parallelism(vectors.sparkSession), -(-rows * trees // PARTITION_ROWS)) // trees))
+    borders = _borders(vectors, rows, dims, trees, per)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = _planes(dims, trees)
@@ -133,11 +153,12 @@ def forest_neighbours(vectors: DataFrame, k: int, least: float, dims: int, trees
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column(1), dims)
-            bits = np.packbits((x @ planes > 0).reshape(len(x), trees, BITS), axis=2)
+            packed = _packed(x)
             for t in range(trees):
-                flat = np.ascontiguousarray(bits[:, t]).reshape(-1)
-                h = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(x), [None, pa.py_buffer(flat)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), h, batch.column(0), batch.column(1)], names=["tree", "h", "id", "v"])
+                h = _hashes(x, planes, t)
+                part = t * per + np.searchsorted(borders[t], h, side="right")
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(x), [None, pa.py_buffer(h)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), raw, batch.column(0), packed], names=["part", "h", "id", "v"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -146,7 +167,7 @@ def forest_neighbours(vectors: DataFrame, k: int, least: float, dims: int, trees
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, limit
             table = pa.Table.from_batches(held).combine_chunks()
-            tree = np.asarray(table.column(0))
+            tree = np.asarray(table.column(0)) // per
             ids = np.asarray(table.column(2))
             x = _matrix(table.column(3).chunk(0), dims)
             raw = np.frombuffer(b"".join(table.column(1).to_pylist()), dtype=np.uint8).reshape(len(ids), BITS // 8)
@@ -174,17 +195,28 @@ def forest_neighbours(vectors: DataFrame, k: int, least: float, dims: int, trees
         if held:
             yield from flush(True)
 
-    kind = "array<float>"
     sorted_arrays = (
         vectors.select("id", "v")
-        .mapInArrow(hashes, f"tree int, h binary, id bigint, v {kind}")
-        .repartitionByRange(parts, "tree", "h")
-        .sortWithinPartitions("tree", "h")
+        .mapInArrow(hashes, "part int, h binary, id bigint, v binary")
+        .repartitionById(per * trees, F.col("part"))
+        .sortWithinPartitions("part", "h")
     )
     lists = sorted_arrays.mapInArrow(leaves, NEAR).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
     return lists.mapInArrow(lambda batches: _merge(batches, k), NEAR)
 
 
+def _borders(vectors: DataFrame, rows: int, dims: int, trees: int, per: int) -> list[np.ndarray]:
+    """For each tree the hashes that part its sorted array evenly, from a sample of some SAMPLED rows a partition."""
+    most = SAMPLED * per
+    share = max(1, rows // most)
+    own = vectors.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("v").limit(4 * most).toArrow()
+    if per == 1 or not own.num_rows:
+        return [np.empty(0, f"S{BITS // 8}")] * trees
+    x, planes = _matrix(own["v"].combine_chunks(), dims), _planes(dims, trees)
+    at = np.arange(1, per) * len(x) // per
+    return [np.sort(_hashes(x, planes, t))[at] for t in range(trees)]
+
+
 def _edges(tree: np.ndarray) -> tuple[list[int], list[int]]:
     if not len(tree):
         return [], []
