@@ -38,6 +38,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repairs(spark, sf_dir).where("cost > 0").select("file_id").distinct()
 
 
+def p1_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What broke each file, the line of the first edit, and the edits' number."""
+    return _repairs(spark, sf_dir).where("cost > 0").select("file_id", "language", "cause", "line", "cost").dropDuplicates(["file_id"])
+
+
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files and files that don't parse, per repository and language."""
     return rates(_repairs(spark, sf_dir))
@@ -105,7 +110,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_origins": p4_origins, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_causes": p1_causes, "p1_rates": p1_rates, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_origins": p4_origins, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 #: Lines above their file's limit; a file above it without such a line gets line 0.
