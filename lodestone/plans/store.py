@@ -31,7 +31,7 @@ from lodestone.operators.maintain import changed, vanished
 from lodestone.operators.structural import structural_chunks
 from lodestone.operators.vectors import check_dims
 from lodestone.plans.folder import Folder
-from lodestone.session import materialize
+from lodestone.session import default_parallelism, materialize
 
 #: Tables as readers see them; postings also have their bucket.
 SCHEMAS = {
@@ -195,8 +195,10 @@ class IndexStore:
         path, own = f"{self.folder.path}/{name}/{segment}", self._schema(name)
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in own])
         if name == "postings":
-            # a hot term goes to several tasks; neither a bucket nor a term is bound to one
-            rows.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(path)
+            # a bucket and its hot terms go to several tasks, by chunk; range partitioning would count the postings twice
+            salts = max(1, default_parallelism(self.spark) // BUCKETS)
+            salted = rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
+            salted.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(path)
         elif name in ("chunks", "vectors"):
             rows.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(path)
         else:
