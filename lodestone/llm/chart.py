@@ -1,18 +1,25 @@
 """Error-correcting chart parsing of short token strings.
 
 A grammar is text: ``NAME: symbol symbol | symbol``; a symbol that no rule
-defines is a terminal. Token strings have one character a token. ``repair``
+defines is a terminal. Token strings have one character a token. ``least``
 gives the least number of tokens to insert, delete or replace so that a string
-derives from a start symbol, and where; strings that derive as they are take
-the plain recogniser alone.
+derives from a start symbol, and where, for any number and any length; strings
+that derive as they are take the plain recogniser alone. ``least_edits`` gives
+the number at least, which is the least where the string that its edits make
+derives; else the chart is searched from that number on, or all spans are.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import count
 
-#: Costs above this are not told apart: such a string counts one more, where the recogniser stops.
+from lodestone.llm.least_edits import Automaton, over_spans
+
+#: Costs above this are not told apart by ``repair``; ``least`` tells all.
 MOST = 4
+#: Strings longer than this are worked out over spans once the chart has failed twice, while the spans keep below so many numbers.
+LONG, SPANS = 60, 200_000_000
 
 
 class Grammar:
@@ -48,32 +55,38 @@ class Grammar:
         self.opens = first
         self.first = [first[b[0]] if b[0] in names else {b[0]} for _, b in self.rules]
         self.known: dict[tuple[str, str], tuple[int, tuple[int, ...]]] = {}
-        self.mirror: Grammar | None = None
-
-    def reversed(self) -> Grammar:
-        """The grammar of the strings read backwards."""
-        if self.mirror is None:
-            self.mirror = Grammar("", {})
-            self.mirror._take([(n, body[::-1]) for n, body in self.rules])
-        return self.mirror
+        self.around: dict[str, Automaton] = {}
 
-    def repair(self, start: str, s: str) -> tuple[int, tuple[int, ...]]:
+    def least(self, start: str, s: str) -> tuple[int, tuple[int, ...]]:
         """Least edits of ``s`` from ``start``, and the positions they are at."""
         got = self.known.get((start, s))
         if got is None:
             if len(self.known) > 300_000:
                 self.known.clear()
-            stop = self.stops_at(start, s)
-            if stop is None:
-                got = (0, ())
-            else:
-                # what stands behind an edit must be the end of some string: the last edit is where a reading from behind stops, or further on
-                back = self.reversed().stops_at(start, s[::-1])
-                low = 0 if back is None else max(0, len(s) - 1 - back)
-                got = next(filter(None, (self._correct(start, s, k, low) for k in range(1, MOST + 1))), (MOST + 1, (stop,)))
-            self.known[start, s] = got
+            got = self.known[start, s] = (0, ()) if self.stops_at(start, s) is None else self._least(start, s)
         return got
 
+    def _least(self, start: str, s: str) -> tuple[int, tuple[int, ...]]:
+        around = self.around.get(start)
+        if around is None:
+            around = self.around[start] = Automaton(self.rules, start)
+        cost, edits, made = around.read(s)
+        if self.stops_at(start, made) is None:
+            return cost, edits
+        labels = [[around.labels.get((n, body[dot:]), -1) for dot in range(len(body))] for n, body in self.rules]
+        floors = [[*row, 0] for row in around.floors(s).tolist()]
+        for most in count(cost):
+            got = self._correct(start, s, most, floors, labels)
+            if got is None and most > cost and len(s) > LONG and (len(s) + 1) ** 2 * sum(len(body) for _, body in self.rules) <= SPANS:
+                got = over_spans(self.rules, start, s)
+            if got is not None:
+                return got
+
+    def repair(self, start: str, s: str) -> tuple[int, tuple[int, ...]]:
+        """``least``, with costs above ``MOST`` as one more than that at the first edit."""
+        cost, edits = self.least(start, s)
+        return (cost, edits) if cost <= MOST else (MOST + 1, edits[:1])
+
     def stops_at(self, start: str, s: str) -> int | None:
         """Where a plain recogniser stops; None if it accepts."""
         rules, names, of, first = self.rules, self.names, self.of, self.first
@@ -130,13 +143,13 @@ class Grammar:
             todo, items = after, set(after)
         return None
 
-    def _correct(self, start: str, s: str, most: int, low: int = 0) -> tuple[int, tuple[int, ...]] | None:
+    def _correct(self, start: str, s: str, most: int, floors: list[list[int]], labels: list[list[int]]) -> tuple[int, tuple[int, ...]] | None:
         """Dijkstra over chart items, by the edits from the string's beginning on.
 
         An item also has the edits since its own origin, which are what a
         finished constituent costs whoever waits for it; those who waited at a
-        place first came there by the fewest edits. ``low``: the last of
-        ``most`` edits is made there or further on.
+        place first came there by the fewest edits. ``floors``: by place and
+        label of a rule's rest, what it takes at least from there to the end.
         """
         rules, names, of, opens = self.rules, self.names, self.of, self.opens
         n = len(s)
@@ -150,12 +163,14 @@ class Grammar:
         def push(item: tuple[int, int, int, int], cost: int, edits: tuple[int, ...]) -> None:
             if cost > most or best.get(item, most + 1) <= cost:
                 return
-            if cost == most:  # nothing may be edited from here on: the next token must fit
-                body = rules[item[0]][1]
-                if item[1] < len(body):
-                    x, pos = body[item[1]], item[3]
-                    if pos == n or (s[pos] not in opens[x] if x in names else s[pos] != x):
+            body = rules[item[0]][1]
+            if item[1] < len(body):
+                x, pos = body[item[1]], item[3]
+                if x not in names:
+                    if cost + floors[pos][labels[item[0]][item[1]]] > most:
                         return
+                elif cost == most and (pos == n or s[pos] not in opens[x]):  # nothing may be edited from here on
+                    return
             best[item] = cost
             stacks[cost].append((item, edits))
 
@@ -195,7 +210,7 @@ class Grammar:
                 same = pos < n and s[pos] == x
                 if same:
                     push((r, dot + 1, origin, pos + 1), cost, edits)
-                if cost + 1 < most or cost < most and pos >= low:
+                if cost < most:
                     edited = (*edits, pos)
                     push((r, dot + 1, origin, pos), cost + 1, edited)  # insert
                     if pos < n:

@@ -11,7 +11,7 @@ Defined cases: null and empty content costs nothing, and so does content in
 Markdown, plain text, CSS or a language without a grammar; an unknown or null
 language falls back on the path's extension; repeated rows give a result each
 (queries drop them); columns besides id, path, content and language are
-ignored. Costs of one segment above ``chart.MOST`` count as one more than that.
+ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ class Bracketed:
         for start in starts:
             if self.grammar.stops_at(start, s) is None:
                 return 0, ()
-        return min((self.grammar.repair(start, s) for start in starts), key=lambda x: x[0])
+        return min((self.grammar.least(start, s) for start in starts), key=lambda x: x[0])
 
     def segment(self, s: str, starts: tuple[str, ...]) -> tuple[int, tuple[int, ...]]:
         key = (starts[0], s)

@@ -158,3 +158,28 @@ def test_least_cost_of_several_edits():
     words = {s for n in range(1, 8) for s in map("".join, itertools.product("io()", repeat=n)) if g.stops_at("E", s) is None}
     for s in ("oo))", "((((", ")o)o", "o(o(", "))))", "i)i)i", "(o(o(", "ooooo", ")(i)("):
         assert min(g.repair("E", s)[0], 4) == min(_edit_distance(words, s), 4), s
+
+
+def test_least_cost_above_any_bound():
+    """Every edit counts, however many there are, and the ways to it agree."""
+    from lodestone.llm.languages import GRAMMARS
+    from lodestone.llm.least_edits import over_spans
+
+    g = Grammar("E: T | E o T\nT: i | ( E )", {})
+    words = {s for n in range(1, 12) for s in map("".join, itertools.product("io", repeat=n)) if g.stops_at("E", s) is None}
+    for s in ("ooooooooo", "iiiiiiiiii", "iiooooooiii"):
+        cost, edits = g.least("E", s)
+        assert cost == len(edits) == _edit_distance(words, s) and cost >= 4, s
+    assert g.least("E", "o" * 40)[0] == 21 and g.least("E", "(" * 400)[0] == 201
+    assert g.least("E", "(" * 9)[0] == over_spans(g.rules, "E", "(" * 9)[0]
+    go, c, java = (GRAMMARS[x][0] for x in ("go", "c", "java"))
+    assert go.least("STMT", "C," * 120)[0] == 121
+    for grammar, s in ((c, "ooioooiooiooioiii!i!i"), (java, "s:s,s:C,s:s,s:B,s:s"), (java, "ii.iiiai.iPiiP:iai.iPiPiPiiP"), (go, "idiPmnionC!!a")):
+        cost, edits = grammar.least("STMT", s)
+        assert cost == len(edits) == over_spans(grammar.rules, "STMT", s)[0]
+
+
+def test_all_edits_of_a_statement_are_in_the_files_cost(spark):
+    text = "package a\n\nfunc f() {\n\tx := []int{" + "1 " * 14 + "}\n}\n"
+    rows = spark.createDataFrame([(1, "r/a.go", text, "Go")], "file_id long, path string, content string, language string")
+    assert [(r["cost"], r["line"]) for r in repairs(rows).collect()] == [(7, 4)]
