@@ -57,13 +57,13 @@ class Grammar:
         self.known: dict[tuple[str, str], tuple[int, tuple[int, ...]]] = {}
         self.around: dict[str, Automaton] = {}
 
-    def least(self, start: str, s: str) -> tuple[int, tuple[int, ...]]:
-        """Least edits of ``s`` from ``start``, and the positions they are at."""
+    def least(self, start: str, s: str, fails: bool = False) -> tuple[int, tuple[int, ...]]:
+        """Least edits of ``s`` from ``start``, and the positions they are at; ``fails``: the recogniser is known not to accept it."""
         got = self.known.get((start, s))
         if got is None:
             if len(self.known) > 300_000:
                 self.known.clear()
-            got = self.known[start, s] = (0, ()) if self.stops_at(start, s) is None else self._least(start, s)
+            got = self.known[start, s] = (0, ()) if not fails and self.stops_at(start, s) is None else self._least(start, s)
         return got
 
     def _least(self, start: str, s: str) -> tuple[int, tuple[int, ...]]:

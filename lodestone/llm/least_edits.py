@@ -147,6 +147,8 @@ class Automaton:
         self.arc_at = np.unique(self.arc_q, return_index=True)[1]
         self.kernels = count
         self.begin = int(kind[kernels[-2]])
+        self.ends = np.append(self.arc_at, len(self.arc_q))
+        self.leads = np.searchsorted(self.target, np.arange(count + 1))
         # the same by kernels, and the places of a rule's rest
         flip = np.lexsort((self.arc_q, self.arc_k))
         self.back_q = self.arc_q[flip]
@@ -163,6 +165,7 @@ class Automaton:
         self.states: list[np.ndarray] = []
         self.numbers: dict[bytes, int] = {}
         self.moves: dict[tuple[int, str], tuple[int, int]] = {}
+        self.before: dict[int, np.ndarray] = {}
 
     def _closure(self, nodes: list[int], places: dict[int, int]) -> list[int]:
         seen, todo = set(nodes), list(nodes)
@@ -229,13 +232,13 @@ class Automaton:
         q, pos = self.accept, len(s)
         cost = own = seen[pos][1] + int(self.states[seen[pos][0]][q])
         edits, made = [], []
-        ends = np.append(self.arc_at, len(self.arc_q))
-        leads = np.searchsorted(self.target, np.arange(self.kernels + 1))
         while True:
-            kernels = self.arc_k[ends[q] : ends[q + 1]]
-            if not own and not pos and self.begin in kernels:
+            before = self.before.get(q)
+            if before is None:
+                kernels = self.arc_k[self.ends[q] : self.ends[q + 1]]
+                before = self.before[q] = np.concatenate([np.arange(self.leads[k], self.leads[k + 1]) for k in kernels])
+            if not own and not pos and self.begin in self.arc_k[self.ends[q] : self.ends[q + 1]]:
                 return cost, tuple(sorted(edits)), "".join(reversed(made))
-            before = np.concatenate([np.arange(leads[k], leads[k + 1]) for k in kernels])
             if pos:
                 there = self.states[seen[pos - 1][0]][before] + seen[pos - 1][1]
                 fits = self.char[before] == self.codes.get(s[pos - 1], -1)
@@ -288,21 +291,13 @@ def over_spans(rules: list[tuple[str, tuple[str, ...]]], start: str, s: str) ->
     earlier takes one edit more at most; only what gets by on fewer is followed up.
     """
     n, names = len(s), {name for name, _ in rules}
+    assert n < 10_000, "numbers of 16 bits"
     number: dict[tuple[str, ...], int] = {}
     for name, body in rules:
         for part in ((name,), *(body[k:] for k in range(len(body))), *((x,) for x in body)):
             number.setdefault(part, len(number))
     parts = list(number)
     tokens = {p[0]: k for p, k in number.items() if len(p) == 1 and p[0] not in names}
-    heads: list[list[tuple[int, int]]] = [[] for _ in parts]  # by head: the whole, its rest
-    tails: list[list[tuple[int, int]]] = [[] for _ in parts]  # by rest: the whole, its head
-    makes: list[list[int]] = [[] for _ in parts]
-    for p, k in number.items():
-        if len(p) > 1:
-            heads[number[p[:1]]].append((k, number[p[1:]]))
-            tails[number[p[1:]]].append((k, number[p[:1]]))
-    for name, body in rules:
-        makes[number[body]].append(number[name,])
     least = np.full(len(parts), 20_000, np.int64)  # to insert all
     least[list(tokens.values())] = 1
     grown = True
@@ -314,7 +309,15 @@ def over_spans(rules: list[tuple[str, tuple[str, ...]]], start: str, s: str) ->
                 if now < least[number[part]]:
                     least[number[part]] = now
                     grown = True
-    cost = np.full((n + 1, len(parts), n + 1), 20_000, np.int16 if n < 10_000 else np.int32)
+    heads = np.array([(k, number[p[:1]], number[p[1:]]) for p, k in number.items() if len(p) > 1], np.int64).reshape(-1, 3).T
+    by_token = np.isin(heads[1], list(tokens.values()))
+    (first, _, behind), (whole, head, rest) = heads[:, by_token], heads[:, ~by_token]
+    tail, lead = heads[::2], heads[1]
+    makes = np.array(sorted({(number[name,], number[body]) for name, body in rules if body != (name,)}), np.int64).T
+    token = np.array(list(tokens.values()), np.int64)
+    is_head = np.isin(np.arange(len(parts)), head)
+    cost = np.full((n + 1, len(parts), n + 1), 20_000, np.int16)
+    inserted = least.astype(np.int16)
     for i in range(n, -1, -1):
         rows = cost[i]
         if i < n:
@@ -323,34 +326,38 @@ def over_spans(rules: list[tuple[str, tuple[str, ...]]], start: str, s: str) ->
         rows[:, i] = least
         if i == n:
             continue
-        fresh: dict[int, np.ndarray | None] = {}  # parts whose rows take less now, and what they were when last followed up
-
-        def lower(k: int, at: int, values: np.ndarray) -> None:
-            row = rows[k, at:]
-            if (values < row).any():
-                fresh.setdefault(k, rows[k].copy())
-                np.minimum(row, values, out=row)
-
-        for x, k in tokens.items():
-            unlike = int(s[i] != x)
-            lower(k, i + 1, np.arange(n - i, dtype=rows.dtype) + unlike)
-            for whole, rest in heads[k]:
-                lower(whole, i + 1, cost[i + 1, rest, i + 1 :] + rows.dtype.type(unlike))
-            fresh.setdefault(k, None)
-        while fresh:
-            k, was = fresh.popitem()
-            row = rows[k]
-            for whole, head in tails[k]:
-                lower(whole, i, row[i:] + rows.dtype.type(least[head]))
-            for whole in makes[k]:
-                lower(whole, i, row[i:])
-            if heads[k] and was is not None:
-                # an end further on is of use only where reading to it beats leaving those tokens to be deleted
-                slack = row[i:] - np.arange(n + 1 - i)
-                new = np.flatnonzero((row[i:] < was[i:]) & (slack < np.concatenate(([1 << 20], np.minimum.accumulate(slack)[:-1])))) + i
-                for whole, rest in heads[k]:
-                    for j in new[new > i].tolist():
-                        lower(whole, j, cost[j, rest, j:] + row[j])
+        was = rows[:, i:].copy()
+        unlike = np.array([p[0] != s[i] for p in parts], np.int16)
+
+        def lower(wholes: np.ndarray, at: int, values: np.ndarray) -> None:
+            rows[wholes, at:] = np.minimum(rows[wholes, at:], values)
+
+        lower(token, i + 1, np.arange(n - i, dtype=np.int16) + unlike[token, None])
+        lower(first, i + 1, cost[i + 1, behind, i + 1 :] + unlike[first, None])
+        while True:
+            now = rows[:, i:].copy()
+            less = now < was
+            any_less = less.any(axis=1)
+            if not any_less.any():
+                break
+            was = now
+            on = any_less[tail[1]]
+            lower(tail[0, on], i, now[tail[1, on]] + inserted[lead[on], None])
+            on = any_less[makes[1]]
+            if on.any():
+                made, at = np.unique(makes[0, on], return_index=True)
+                lower(made, i, np.minimum.reduceat(now[makes[1, on]], at))
+            # an end further on is of use only where reading to it beats leaving those tokens to be deleted
+            mine = np.flatnonzero(any_less & is_head)
+            if not len(mine):
+                continue
+            slack = now[mine] - np.arange(n + 1 - i, dtype=np.int16)
+            useful = less[mine, 1:] & (slack[:, 1:] < np.minimum.accumulate(slack, axis=1)[:, :-1])
+            at = np.full(len(parts), -1)
+            at[mine] = np.arange(len(mine))
+            for j in (np.flatnonzero(useful.any(axis=0)) + 1).tolist():
+                on = (at[head] >= 0) & useful[at[head], j - 1]
+                lower(whole[on], i + j, cost[i + j, rest[on], i + j :] + now[head[on], j, None])
     edits: list[int] = []
     todo = [(number[start,], 0, n, frozenset())]
     while todo:

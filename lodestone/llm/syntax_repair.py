@@ -79,7 +79,7 @@ class Bracketed:
         for start in starts:
             if self.grammar.stops_at(start, s) is None:
                 return 0, ()
-        return min((self.grammar.least(start, s) for start in starts), key=lambda x: x[0])
+        return min((self.grammar.least(start, s, fails=True) for start in starts), key=lambda x: x[0])
 
     def segment(self, s: str, starts: tuple[str, ...]) -> tuple[int, tuple[int, ...]]:
         key = (starts[0], s)
