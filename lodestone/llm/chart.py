@@ -12,6 +12,8 @@ derives; else the chart is searched from that number on, or all spans are.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Generator, Iterator, Sequence
+from heapq import heapify, heapreplace
 from itertools import count
 
 from lodestone.llm.least_edits import Automaton, over_spans
@@ -21,6 +23,35 @@ MOST = 4
 #: Strings longer than this are worked out over spans once the chart has failed twice, while the spans keep below so many numbers.
 LONG, SPANS = 60, 200_000_000
 
+#: Numbers that a cost isn't below, then the cost and where its edits are.
+Rising = Generator[int, None, tuple[int, tuple[int, ...]]]
+
+
+def last_of(rising: Rising) -> tuple[int, tuple[int, ...]]:
+    while True:
+        try:
+            next(rising)
+        except StopIteration as end:
+            return end.value
+
+
+def least_of(ways: Sequence[Rising]) -> Rising:
+    """The way of the least cost, the first of equals; no other is followed further than to where it can't be that."""
+    ends: dict[int, tuple[int, tuple[int, ...]]] = {}
+    heap = [(0, k) for k in range(len(ways))]
+    heapify(heap)
+    while True:
+        least, k = heap[0]
+        if k in ends:
+            return ends[k]
+        try:
+            least = max(least, next(ways[k]))
+        except StopIteration as end:
+            ends[k] = end.value
+            least = end.value[0]
+        heapreplace(heap, (least, k))
+        yield heap[0][0]
+
 
 class Grammar:
     def __init__(self, text: str, terminals: dict[str, str]):
@@ -55,32 +86,61 @@ class Grammar:
         self.opens = first
         self.first = [first[b[0]] if b[0] in names else {b[0]} for _, b in self.rules]
         self.known: dict[tuple[str, str], tuple[int, tuple[int, ...]]] = {}
+        self.under: dict[tuple[str, str], int] = {}  # of strings that don't derive and aren't known yet: edits at least
         self.around: dict[str, Automaton] = {}
 
-    def least(self, start: str, s: str, fails: bool = False) -> tuple[int, tuple[int, ...]]:
-        """Least edits of ``s`` from ``start``, and the positions they are at; ``fails``: the recogniser is known not to accept it."""
-        got = self.known.get((start, s))
-        if got is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            got = self.known[start, s] = (0, ()) if not fails and self.stops_at(start, s) is None else self._least(start, s)
-        return got
+    def sound(self, start: str, s: str) -> bool:
+        """Whether ``s`` derives from ``start`` as it is."""
+        key = (start, s)
+        got = self.known.get(key)
+        if got is not None:
+            return not got[0]
+        if key in self.under:
+            return False
+        if len(self.known) + len(self.under) > 300_000:
+            self.known.clear()
+            self.under.clear()
+        if self.stops_at(start, s) is not None:
+            self.under[key] = 1
+            return False
+        self.known[key] = (0, ())
+        return True
+
+    def least(self, start: str, s: str) -> tuple[int, tuple[int, ...]]:
+        """Least edits of ``s`` from ``start``, and the positions they are at."""
+        return last_of(self.rising(start, s))
+
+    def rising(self, start: str, s: str) -> Rising:
+        """``least``, after numbers that it isn't below, each worked out when it is asked for."""
+        key = (start, s)
+        if not self.sound(start, s) and key not in self.known:
+            yield self.under[key]
+            if key not in self.known:  # nor found by another meanwhile
+                for got in self._bounds(start, s):
+                    if isinstance(got, tuple):
+                        self.known[key] = got
+                        self.under.pop(key, None)
+                        break
+                    if got > self.under.get(key, 0):
+                        self.under[key] = got
+                        yield got
+        return self.known[key]
 
-    def _least(self, start: str, s: str) -> tuple[int, tuple[int, ...]]:
+    def _bounds(self, start: str, s: str) -> Iterator[int | tuple[int, tuple[int, ...]]]:
         around = self.around.get(start)
         if around is None:
             around = self.around[start] = Automaton(self.rules, start)
         cost, edits, made = around.read(s)
+        yield cost
         if self.stops_at(start, made) is None:
-            return cost, edits
+            yield cost, edits
         labels = [[around.labels.get((n, body[dot:]), -1) for dot in range(len(body))] for n, body in self.rules]
         floors = [[*row, 0] for row in around.floors(s).tolist()]
         for most in count(cost):
             got = self._correct(start, s, most, floors, labels)
             if got is None and most > cost and len(s) > LONG and (len(s) + 1) ** 2 * sum(len(body) for _, body in self.rules) <= SPANS:
                 got = over_spans(self.rules, start, s)
-            if got is not None:
-                return got
+            yield most + 1 if got is None else got
 
     def repair(self, start: str, s: str) -> tuple[int, tuple[int, ...]]:
         """``least``, with costs above ``MOST`` as one more than that at the first edit."""

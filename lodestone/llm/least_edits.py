@@ -22,6 +22,12 @@ KEPT = 24_000_000
 FAR = 1 << 29
 
 
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """In order; numpy's own hashes such numbers badly."""
+    numbers = np.sort(numbers)
+    return numbers[np.concatenate([numbers[:1] == numbers[:1], numbers[1:] != numbers[:-1]])]
+
+
 class Automaton:
     def __init__(self, rules: list[tuple[str, tuple[str, ...]]], start: str):
         self.rules = rules
@@ -126,7 +132,7 @@ class Automaton:
         kind, count = np.zeros(len(kernels), np.int64), 0
         while True:
             place = np.unique(char * len(kernels) + kind[target], return_inverse=True)[1]
-            pair = np.unique(arc_k * len(char) + place[arc_q])
+            pair = _distinct(arc_k * len(char) + place[arc_q])
             sums = np.zeros(len(kernels), np.int64)
             np.add.at(sums, pair // len(char), salt[pair % len(char)])
             kind = np.unique(sums, return_inverse=True)[1]
@@ -142,7 +148,7 @@ class Automaton:
         self.codes, self.signs = codes, list(codes)
         self.accept = int(rank[place[0]])
         self.led, self.led_at = np.unique(self.target, return_index=True)
-        pair = np.unique(rank[place[arc_q]] * count + kind[arc_k])
+        pair = _distinct(rank[place[arc_q]] * count + kind[arc_k])
         self.arc_q, self.arc_k = pair // count, pair % count
         self.arc_at = np.unique(self.arc_q, return_index=True)[1]
         self.kernels = count
@@ -155,7 +161,7 @@ class Automaton:
         self.back_k, self.back_at = np.unique(self.arc_k[flip], return_index=True)
         self.labels = {x: k for k, x in enumerate(dict.fromkeys(self.nodes[i][:2] for i in list(chars)[1:]))}
         label = np.array([self.labels[self.nodes[i][:2]] for i in list(chars)[1:]], np.int64)
-        pair = np.unique(label * len(order) + rank[place[1:]])
+        pair = _distinct(label * len(order) + rank[place[1:]])
         self.label_q = pair % len(order)
         self.label_at = np.unique(pair // len(order), return_index=True)[1]
         self.of = self.ids = self.nodes = self.next = self.todo = None

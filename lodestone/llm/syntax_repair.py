@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.chart import Rising, last_of, least_of
 from lodestone.llm.languages import _SIGNS, BAD, GRAMMARS, LEXERS, language_of, operators
 
 TRUNCATED, CONFLICT, MISMATCH, OTHER = "truncated", "conflict", "mismatch", "other"
@@ -60,8 +61,9 @@ class _Frame:
 class Bracketed:
     """Repair of a language of brackets and separators."""
 
-    def __init__(self, lang: str):
-        self.lang = lang
+    def __init__(self, lang: str, whole: bool = True):
+        """``whole``: costs are worked out; else only so far that they are known to be 0 or above."""
+        self.lang, self.whole = lang, whole
         self.grammar, self.words = GRAMMARS[lang]
         self.ops = operators(lang)
         self.lexer = LEXERS[lang]
@@ -71,25 +73,36 @@ class Bracketed:
         self.ends = set("insPBCq") | {w[x] for x in ("return", "break", "continue", "fallthrough", "this", "super", "debugger") if x in w}
         self.cold = {w[x] for x in ("return", "throw", "new", "await", "typeof", "case", "else", "do", "export", "default", "import", "static", "async", "const", "let", "var", "class", "function", "of", "in", "get", "set", "extends", "type", "enum", "interface", "delete", "void", "yield", "try", "finally") if x in w}
         self.other = w.get("else", "")
-        self.known: dict[tuple[str, str], tuple[int, tuple[int, ...]]] = {}
+        self.known: dict[tuple[tuple[str, ...], str], tuple[int, tuple[int, ...]]] = {}
 
     # ---- segments -------------------------------------------------------
 
-    def _best(self, s: str, starts: tuple[str, ...]) -> tuple[int, tuple[int, ...]]:
-        for start in starts:
-            if self.grammar.stops_at(start, s) is None:
-                return 0, ()
-        return min((self.grammar.least(start, s, fails=True) for start in starts), key=lambda x: x[0])
-
     def segment(self, s: str, starts: tuple[str, ...]) -> tuple[int, tuple[int, ...]]:
-        key = (starts[0], s)
+        return self._worked(self._rising(s, starts))
+
+    def _worked(self, rising: Rising) -> tuple[int, tuple[int, ...]]:
+        if self.whole:
+            return last_of(rising)
+        try:
+            while not (least := next(rising)):
+                pass
+        except StopIteration as end:
+            return end.value
+        return least, ()
+
+    def _rising(self, s: str, starts: tuple[str, ...]) -> Rising:
+        key = (starts, s)
         got = self.known.get(key)
         if got is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            got = self.known[key] = self._best(s, starts)
+            got = yield from least_of([self.grammar.rising(start, s) for start in starts])
+            self._keep(key, got)
         return got
 
+    def _keep(self, key: tuple[tuple[str, ...], str], got: tuple[int, tuple[int, ...]]) -> None:
+        if len(self.known) > 300_000:
+            self.known.clear()
+        self.known[key] = got
+
     def _statements(self, s: str) -> list[tuple[int, str]]:
         """Segments of a block, with where they start."""
         out: list[tuple[int, str]] = []
@@ -122,59 +135,84 @@ class Bracketed:
         """Cost of a group's content and the positions of its edits."""
         if not s or s == "\n":
             return 0, ()
-        key = (kind + "*", s)
+        key = ((kind,), s)
         got = self.known.get(key)
         if got is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            got = self.known[key] = self._check(kind, s)
+            got = self._worked(least_of(self._check(kind, s)))
+            if self.whole or not got[0]:
+                self._keep(key, got)
         return got
 
-    def _sum(self, parts: list[tuple[int, str]], starts: tuple[str, ...], empty: str) -> tuple[int, tuple[int, ...]]:
-        cost, edits = 0, []
+    def _sum(self, parts: list[tuple[int, str]], starts: tuple[str, ...], empty: str) -> Rising:
+        """What the parts cost together: first how many fail, then what they cost at least, then what they cost."""
+        ends: dict[int, tuple[int, tuple[int, ...]]] = {}
+        waits: list[tuple[int, int, Rising]] = []
+        cost = 0
         for k, (at, x) in enumerate(parts):
             x2 = x.replace("\n", "")
             if not x2:
                 if empty == "last" and k == len(parts) - 1 or empty == "any":
                     continue
+                ends[k] = 1, (0,)
                 cost += 1
-                edits.append(at)
-                continue
-            c, e = self.segment(x2, starts)
-            cost += c
-            if e:
-                real = [j for j, ch in enumerate(x) if ch != "\n"]
-                edits += [at + (real[p] if p < len(real) else len(x) - 1) for p in e]
+                yield cost
+            elif not any(self.grammar.sound(start, x2) for start in starts):
+                waits.append((k, 1, self._rising(x2, starts)))
+                cost += 1
+                yield cost
+        while waits:
+            still = []
+            for k, before, rising in waits:
+                try:
+                    now = max(before, next(rising))
+                    still.append((k, now, rising))
+                except StopIteration as end:
+                    ends[k] = end.value
+                    now = end.value[0]
+                if now > before:
+                    cost += now - before
+                    yield cost
+            waits = still
+        edits = []
+        for k in sorted(ends):
+            at, x = parts[k]
+            real = [j for j, ch in enumerate(x) if ch != "\n"]
+            edits += [at + (real[p] if p < len(real) else max(len(x) - 1, 0)) for p in ends[k][1]]
         return cost, tuple(edits)
 
-    def _block(self, s: str) -> tuple[int, tuple[int, ...]]:
+    def _block(self, s: str) -> Rising:
         return self._sum(self._statements(s), ("STMT",), "any")
 
-    def _check(self, kind: str, s: str) -> tuple[int, tuple[int, ...]]:
+    def _members(self, s: str, at: int) -> Rising:
+        """An enum's constants, to ``at``, before its members."""
+        first = yield from self._sum(self._list(s[:at]), ("ITEM",), "last")
+        rest = self._block(s[at + 1 :])
+        while True:
+            try:
+                yield first[0] + next(rest)
+            except StopIteration as end:
+                return first[0] + end.value[0], first[1] + tuple(at + 1 + p for p in end.value[1])
+
+    def _check(self, kind: str, s: str) -> list[Rising]:
+        """The ways to read a group's content; of equals the first counts."""
         lang = self.lang
         if lang == "json":
-            return self._sum(self._list(s), ("PAIR",) if kind == "{" else ("V",), "never")
+            return [self._sum(self._list(s), ("PAIR",) if kind == "{" else ("V",), "never")]
         if lang == "sql":
-            return self._sum(self._list(s), ("REST",), "never")
+            return [self._sum(self._list(s), ("REST",), "never")]
         if kind == "{":
-            best = self._block(s)
-            if best[0] and ";" not in s:
-                other = self._sum(self._list(s), ("ITEM", "ARG") if lang != "go" else ("ARG",), "last")
-                best = min(best, other, key=lambda x: x[0])
-            elif best[0] and lang == "java":  # an enum's constants before its members
-                at = s.index(";")
-                first, rest = self._sum(self._list(s[:at]), ("ITEM",), "last"), self._block(s[at + 1 :])
-                if first[0] + rest[0] < best[0]:
-                    best = first[0] + rest[0], first[1] + tuple(at + 1 + p for p in rest[1])
-            elif best[0] and lang == "typescript":
-                best = min(best, self._sum(self._list(s, ",;\n"), ("ITEM", "ARG"), "any"), key=lambda x: x[0])
-            return best
-        s2 = s
+            if ";" not in s:
+                return [self._block(s), self._sum(self._list(s), ("ITEM", "ARG") if lang != "go" else ("ARG",), "last")]
+            if lang == "java":
+                return [self._block(s), self._members(s, s.index(";"))]
+            if lang == "typescript":
+                return [self._block(s), self._sum(self._list(s, ",;\n"), ("ITEM", "ARG"), "any")]
+            return [self._block(s)]
         if kind == "(" and lang == "go" and ("\n" in s or ";" in s):
-            return self._sum(self._statements(s), ("STMT", "ARG"), "any")
+            return [self._sum(self._statements(s), ("STMT", "ARG"), "any")]
         if kind == "(" and ";" in s:
-            return self._sum(self._list(s2, ";"), ("ARG", "STMT"), "any")
-        return self._sum(self._list(s2), ("ARG",), "any" if self.script and kind == "[" else "last")
+            return [self._sum(self._list(s, ";"), ("ARG", "STMT"), "any")]
+        return [self._sum(self._list(s), ("ARG",), "any" if self.script and kind == "[" else "last")]
 
     # ---- a file ---------------------------------------------------------
 
@@ -328,7 +366,7 @@ class Bracketed:
         elif lang == "sql":
             c, e = self._sql(text, s, root.at)
         else:
-            c, e = self._block(s)
+            c, e = self._worked(self._block(s))
         cost += c
         where += [root.at[min(p, len(root.at) - 1)] if root.at else n for p in e]
         if not cost:
@@ -395,21 +433,19 @@ class Bracketed:
 class Python(Bracketed):
     """Logical lines, their indentation, and the chart of each."""
 
-    def __init__(self) -> None:
-        super().__init__("python")
+    def __init__(self, whole: bool = True):
+        super().__init__("python", whole)
         w = self.words
         self.heads = {w[x] for x in "def async class if elif else for while try except finally with match case".split()}
         self.attempt = w["try"]
         led = {"else": "if elif for while except", "elif": "if elif", "except": "try except", "finally": "try except else"}
         self.led = {w[k]: {w[x] for x in v.split()} for k, v in led.items()}
 
-    def _check(self, kind: str, s: str) -> tuple[int, tuple[int, ...]]:
-        if any(self.words[x] in s for x in ("for", "lambda")) and self.grammar.stops_at("ARG", s) is None:
-            return 0, ()
+    def _check(self, kind: str, s: str) -> list[Rising]:
         parts = self._list(s)
-        if any(self.words["lambda"] in x for _, x in parts):
-            parts = [(0, s)] if self.grammar.stops_at("ARG", s) is None else parts
-        return self._sum(parts, ("ARG",), "last")
+        if any(self.words[x] in s for x in ("for", "lambda")) and self.grammar.sound("ARG", s):
+            parts = [(0, s)]
+        return [self._sum(parts, ("ARG",), "last")]
 
     def repair(self, text: str) -> tuple[int, list[int]]:
         stack: list[_Frame] = [_Frame("", 0)]
@@ -856,14 +892,14 @@ def _flow_more(body: str, flow: int) -> int:
 
 
 @functools.lru_cache(maxsize=None)
-def _parser(lang: str):
+def _parser(lang: str, whole: bool = True):
     if lang == "python":
-        return Python().repair
+        return Python(whole).repair
     if lang == "shell":
         return repair_shell
     if lang == "yaml":
         return repair_yaml
-    return Bracketed(lang).repair if lang in GRAMMARS else None
+    return Bracketed(lang, whole).repair if lang in GRAMMARS else None
 
 
 def sound(lang: str, text: str) -> bool | None:
@@ -885,6 +921,12 @@ def sound(lang: str, text: str) -> bool | None:
     return None
 
 
+def breaks(lang: str, text: str) -> bool:
+    """Whether ``diagnose`` gives a cost, without working out how much."""
+    parse = _parser(lang, whole=False)
+    return parse is not None and bool(text.strip("﻿ \t\r\n")) and parse(text)[0] > 0 and not sound(lang, text)
+
+
 def diagnose(lang: str, text: str) -> tuple[int, str | None, int]:
     """Repair cost of a text, what broke it, and the line of the first edit (0 without one)."""
     parse = _parser(lang)
@@ -928,6 +970,22 @@ def repairs(files: DataFrame, key: str = "file_id", path: str = "path", text: st
     )
 
 
+def broken(files: DataFrame, key: str = "file_id", path: str = "path", text: str = "content", language: str = "language") -> DataFrame:
+    """``key`` of every file whose repair costs something, as often as ``files`` has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array([breaks(language_of(b, a), x or "") for a, b, x in rows], pa.bool_()))], names=["key"])
+
+    kind = files.schema[key].dataType.simpleString()
+    return (
+        files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(language).alias("language"), F.col(text).alias("text"))
+        .mapInArrow(run, f"key {kind}")
+        .withColumnRenamed("key", key)
+    )
+
+
 def rates(found: DataFrame, key: str = "file_id") -> DataFrame:
     """Files and broken files per repository and language."""
     return (

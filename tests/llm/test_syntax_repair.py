@@ -183,3 +183,53 @@ def test_all_edits_of_a_statement_are_in_the_files_cost(spark):
     text = "package a\n\nfunc f() {\n\tx := []int{" + "1 " * 14 + "}\n}\n"
     rows = spark.createDataFrame([(1, "r/a.go", text, "Go")], "file_id long, path string, content string, language string")
     assert [(r["cost"], r["line"]) for r in repairs(rows).collect()] == [(7, 4)]
+
+
+def test_whether_a_file_breaks_takes_no_costs(spark, monkeypatch):
+    """The same files as by their costs, though no number of edits is worked out."""
+    from lodestone.llm.least_edits import Automaton
+    from lodestone.llm.syntax_repair import breaks, broken
+
+    texts = [(lang, GOOD[lang][:end]) for lang in GOOD for end in range(0, len(GOOD[lang]) + 1, 9)]
+    texts += [(a, GOOD[b]) for a in GOOD for b in GOOD] + [("go", "package a\nvar x = []int{" + "1 " * 40 + "}\n"), ("markdown", "(("), ("json", "")]
+    costs = [diagnose(lang, x)[0] for lang, x in texts]
+    assert 0 in costs and max(costs) > 9
+
+    def read(self, s):
+        raise AssertionError("no edits are asked for")
+
+    monkeypatch.setattr(Automaton, "read", read)
+    assert [breaks(lang, x) for lang, x in texts] == [c > 0 for c in costs]
+    rows = spark.createDataFrame([(k, f"r/{k}", x, lang) for k, (lang, x) in enumerate(texts[:40])] + [(99, None, None, None)], "file_id long, path string, content string, language string")
+    assert sorted(r["file_id"] for r in broken(rows.union(rows.where("file_id = 0"))).distinct().collect()) == [k for k, c in enumerate(costs[:40]) if c]
+    assert broken(rows.where("false")).count() == 0
+
+
+def test_a_way_that_costs_nothing_settles_a_group(monkeypatch):
+    """An object's members are read as members; what they'd cost as statements isn't worked out."""
+    from lodestone.llm.least_edits import Automaton
+
+    def read(self, s):
+        raise AssertionError("no edits are asked for")
+
+    monkeypatch.setattr(Automaton, "read", read)
+    assert Bracketed("javascript").check("{", "s:s,s:C,s:i,s:n,s:B") == (0, ())
+
+
+def test_the_least_of_several_ways():
+    from lodestone.llm.chart import last_of, least_of
+
+    def way(bounds, cost, edits):
+        for b in bounds:
+            asked.append(b)
+            yield b
+        return cost, edits
+
+    asked = []
+    assert last_of(least_of([way([1, 7], 9, (0,)), way([1, 2], 3, (1,)), way([3, 4], 3, (2,))])) == (3, (1,))
+    assert asked == [1, 1, 3, 7, 2] and last_of(least_of([way([], 2, (5,)), way([], 2, (6,))])) == (2, (5,))
+
+
+def test_a_segments_cost_does_not_hang_on_other_readings_of_it():
+    go = Bracketed("go")
+    assert go.segment("ie", ("STMT",))[0] == 1 and go.segment("ie", ("STMT", "ARG")) == (0, ()) and go.segment("ie", ("STMT",))[0] == 1
