@@ -16,6 +16,8 @@ from collections.abc import Generator, Iterator, Sequence
 from heapq import heapify, heapreplace
 from itertools import count
 
+import numpy as np
+
 from lodestone.llm.least_edits import Automaton, over_spans
 
 #: Costs above this are not told apart by ``repair``; ``least`` tells all.
@@ -73,6 +75,24 @@ class Grammar:
         self.of: dict[str, list[int]] = defaultdict(list)
         for i, (n, _) in enumerate(self.rules):
             self.of[n].append(i)
+        # dots of all rules in a row: what follows each, whose it is, and where each name begins
+        self.symbols: list[str | None] = [x for _, body in rules for x in (*body, None)]
+        self.owners = [n for n, body in rules for _ in range(len(body) + 1)]
+        self.begins: dict[str, list[int]] = defaultdict(list)
+        at = 0
+        for n, body in rules:
+            self.begins[n].append(at)
+            at += len(body) + 1
+        # by name, the dots before it and those before the tokens that it may begin with
+        self.awaits = {n: [k for k, x in enumerate(self.symbols) if x == n] for n in names}
+        self.tokens: dict[str, list[int]] = {}
+        for n in names:
+            seen, todo = {n}, [n]
+            while todo:
+                more = {self.symbols[at] for at in self.begins[todo.pop()]} & names - seen
+                seen |= more
+                todo += more
+            self.tokens[n] = [at for x in names if x in seen for at in self.begins[x] if self.symbols[at] not in names]
         first: dict[str, set[str]] = {n: set() for n in names}
         grown = True
         while grown:
@@ -134,10 +154,9 @@ class Grammar:
         yield cost
         if self.stops_at(start, made) is None:
             yield cost, edits
-        labels = [[around.labels.get((n, body[dot:]), -1) for dot in range(len(body))] for n, body in self.rules]
-        floors = [[*row, 0] for row in around.floors(s).tolist()]
+        floors = self._floors(around, s)
         for most in count(cost):
-            got = self._correct(start, s, most, floors, labels)
+            got = self._correct(start, s, most, floors)
             if got is None and most > cost and len(s) > LONG and (len(s) + 1) ** 2 * sum(len(body) for _, body in self.rules) <= SPANS:
                 got = over_spans(self.rules, start, s)
             yield most + 1 if got is None else got
@@ -203,78 +222,90 @@ class Grammar:
             todo, items = after, set(after)
         return None
 
-    def _correct(self, start: str, s: str, most: int, floors: list[list[int]], labels: list[list[int]]) -> tuple[int, tuple[int, ...]] | None:
+    def _floors(self, around: Automaton, s: str) -> list[list[int]]:
+        """By place and rule's dot: what it takes at least from there to the end; 0 where nothing follows and no token came."""
+        reads, behind = [], []
+        for name, body in self.rules:
+            here = [around.labels.get((name, body[dot:]), -1) for dot in range(len(body))]
+            reads += [*here, -1]
+            behind += [-1, *here]
+        before, after = (np.pad(x, ((0, 0), (0, 1))) for x in around.floors(s))
+        floors = np.maximum(before[:, reads], after[:, behind])
+        least = {x: floors[:, at].min(axis=1, keepdims=True) for x, at in self.tokens.items()}
+        for x, at in self.awaits.items():
+            floors[:, at] = np.maximum(floors[:, at], least[x])
+        return floors.tolist()
+
+    def _correct(self, start: str, s: str, most: int, floors: list[list[int]]) -> tuple[int, tuple[int, ...]] | None:
         """Dijkstra over chart items, by the edits from the string's beginning on.
 
         An item also has the edits since its own origin, which are what a
         finished constituent costs whoever waits for it; those who waited at a
         place first came there by the fewest edits. ``floors``: by place and
-        label of a rule's rest, what it takes at least from there to the end.
+        dot, what it takes at least from there to the end.
         """
-        rules, names, of, opens = self.rules, self.names, self.of, self.opens
+        names, opens, symbols, owners, begins = self.names, self.opens, self.symbols, self.owners, self.begins
         n = len(s)
+        wide = n + 1
         # costs are few: a stack of items for each takes the place of a heap
-        stacks: list[list[tuple[tuple[int, int, int, int] | None, tuple[int, ...]]]] = [[] for _ in range(most + 1)]
-        best: dict[tuple[int, int, int, int], int] = {}
+        stacks: list[list[tuple[int, int, int, tuple[int, ...]]]] = [[] for _ in range(most + 1)]
+        best: dict[int, int] = {}
         base: dict[tuple[str, int], int] = {}
         complete: dict[tuple[str, int], dict[int, tuple[int, tuple[int, ...]]]] = defaultdict(dict)
-        waiting: dict[tuple[str, int], list[tuple[tuple[int, int, int], int, tuple[int, ...]]]] = defaultdict(list)
+        waiting: dict[tuple[str, int], list[tuple[int, int, int, tuple[int, ...]]]] = defaultdict(list)
 
-        def push(item: tuple[int, int, int, int], cost: int, edits: tuple[int, ...]) -> None:
-            if cost > most or best.get(item, most + 1) <= cost:
+        def push(at: int, origin: int, pos: int, cost: int, edits: tuple[int, ...]) -> None:
+            if cost + floors[pos][at] > most:
                 return
-            body = rules[item[0]][1]
-            if item[1] < len(body):
-                x, pos = body[item[1]], item[3]
-                if x not in names:
-                    if cost + floors[pos][labels[item[0]][item[1]]] > most:
-                        return
-                elif cost == most and (pos == n or s[pos] not in opens[x]):  # nothing may be edited from here on
+            if cost == most:  # nothing may be edited from here on
+                x = symbols[at]
+                if x in names and (pos == n or s[pos] not in opens[x]):
                     return
-            best[item] = cost
-            stacks[cost].append((item, edits))
+            item = (at * wide + origin) * wide + pos
+            if best.get(item, most + 1) > cost:
+                best[item] = cost
+                stacks[cost].append((at, origin, pos, edits))
 
         base[start, 0] = 0
-        for r in of[start]:
-            push((r, 0, 0, 0), 0, ())
+        for at in begins[start]:
+            push(at, 0, 0, 0, ())
         for cost, stack in enumerate(stacks):
             while stack:
-                item, edits = stack.pop()
-                if item is None:
+                at, origin, pos, edits = stack.pop()
+                if at < 0:
                     return cost, tuple(sorted(edits))
-                if best[item] < cost:
+                if best[(at * wide + origin) * wide + pos] < cost:
                     continue
-                r, dot, origin, pos = item
-                name, body = rules[r]
-                if dot == len(body):
+                x = symbols[at]
+                if x is None:
+                    name = owners[at]
                     ends = complete[name, origin]
                     if pos in ends:
                         continue
                     own = cost - base[name, origin]
                     ends[pos] = (own, edits)
                     if name == start and origin == 0 and cost + n - pos <= most:  # what is left over is deleted
-                        stacks[cost + n - pos].append((None, edits + tuple(range(pos, n))))
-                    for (q, d, o), before, e0 in waiting[name, origin]:
-                        push((q, d + 1, o, pos), before + own, e0 + edits)
+                        stacks[cost + n - pos].append((-1, 0, n, edits + tuple(range(pos, n))))
+                    for q, o, before, e0 in waiting[name, origin]:
+                        push(q, o, pos, before + own, e0 + edits)
                     continue
-                x = body[dot]
                 if x in names:
-                    waiting[x, pos].append(((r, dot, origin), cost, edits))
+                    waiting[x, pos].append((at + 1, origin, cost, edits))
                     if (x, pos) not in base:
                         base[x, pos] = cost
-                        for q in of[x]:
-                            push((q, 0, pos, pos), cost, ())
+                        for q in begins[x]:
+                            push(q, pos, pos, cost, ())
                     for end, (own, e1) in list(complete[x, pos].items()):
-                        push((r, dot + 1, origin, end), cost + own, edits + e1)
+                        push(at + 1, origin, end, cost + own, edits + e1)
                     continue
                 same = pos < n and s[pos] == x
                 if same:
-                    push((r, dot + 1, origin, pos + 1), cost, edits)
+                    push(at + 1, origin, pos + 1, cost, edits)
                 if cost < most:
                     edited = (*edits, pos)
-                    push((r, dot + 1, origin, pos), cost + 1, edited)  # insert
+                    push(at + 1, origin, pos, cost + 1, edited)  # insert
                     if pos < n:
                         if not same:
-                            push((r, dot + 1, origin, pos + 1), cost + 1, edited)  # replace
-                        push((r, dot, origin, pos + 1), cost + 1, edited)  # delete
+                            push(at + 1, origin, pos + 1, cost + 1, edited)  # replace
+                        push(at, origin, pos + 1, cost + 1, edited)  # delete
         return None

@@ -150,10 +150,16 @@ class Automaton:
         self.led, self.led_at = np.unique(self.target, return_index=True)
         pair = _distinct(rank[place[arc_q]] * count + kind[arc_k])
         self.arc_q, self.arc_k = pair // count, pair % count
-        self.arc_at = np.unique(self.arc_q, return_index=True)[1]
+        arc_at = np.unique(self.arc_q, return_index=True)[1]
+        # places that the same kernels open are worked out once
+        sums = np.add.reduceat(salt[self.arc_k], arc_at)
+        alike, self.alike = np.unique(sums, return_index=True)[1], np.unique(sums, return_inverse=True)[1]
+        sizes = np.diff(np.append(arc_at, len(self.arc_q)))[alike]
+        self.some_at = np.cumsum(sizes) - sizes
+        self.some_k = np.concatenate([self.arc_k[a : a + m] for a, m in zip(arc_at[alike], sizes)])
         self.kernels = count
         self.begin = int(kind[kernels[-2]])
-        self.ends = np.append(self.arc_at, len(self.arc_q))
+        self.ends = np.append(arc_at, len(self.arc_q))
         self.leads = np.searchsorted(self.target, np.arange(count + 1))
         # the same by kernels, and the places of a rule's rest
         flip = np.lexsort((self.arc_q, self.arc_k))
@@ -185,7 +191,7 @@ class Automaton:
     # ---- reading ----------------------------------------------------------
 
     def _spread(self, kernels: np.ndarray) -> np.ndarray:
-        return np.minimum.reduceat(kernels[self.arc_k], self.arc_at)
+        return np.minimum.reduceat(kernels[self.some_k], self.some_at)[self.alike]
 
     def _gather(self, costs: np.ndarray) -> np.ndarray:
         out = np.full(self.kernels, FAR, np.int32)
@@ -268,11 +274,11 @@ class Automaton:
             made.append(self.signs[self.char[q]])
             edits.append(pos)
 
-    def floors(self, s: str) -> np.ndarray:
-        """By place in ``s`` and label: the fewest edits that what is left can take behind a rule's rest."""
+    def floors(self, s: str) -> tuple[np.ndarray, np.ndarray]:
+        """By place in ``s`` and label: the fewest edits that what is left can take before a rule's rest, and behind its first token."""
         costs = np.full(len(self.char), FAR, np.int32)
         costs[self.accept] = 0
-        rows = []
+        rows, behind = [], []
         for c in (None, *reversed(s)):
             if c is not None:
                 costs = np.minimum(costs + 1, self._ahead(costs) + (self.char != self.codes.get(c, -1)))
@@ -282,7 +288,8 @@ class Automaton:
                     break
                 costs = more
             rows.append(np.minimum.reduceat(costs[self.label_q], self.label_at))
-        return np.array(rows[::-1])
+            behind.append(np.minimum.reduceat(self._ahead(costs)[self.label_q], self.label_at))
+        return np.array(rows[::-1]), np.array(behind[::-1])
 
     def _ahead(self, costs: np.ndarray) -> np.ndarray:
         kernels = np.full(self.kernels, FAR, np.int32)

@@ -233,3 +233,18 @@ def test_the_least_of_several_ways():
 def test_a_segments_cost_does_not_hang_on_other_readings_of_it():
     go = Bracketed("go")
     assert go.segment("ie", ("STMT",))[0] == 1 and go.segment("ie", ("STMT", "ARG")) == (0, ()) and go.segment("ie", ("STMT",))[0] == 1
+
+
+def test_the_search_finds_the_least_at_its_own_number():
+    """What is left out for taking too much to the end never was on the way to the least."""
+    from lodestone.llm.languages import GRAMMARS
+    from lodestone.llm.least_edits import Automaton, over_spans
+
+    cases = [(Grammar("E: T | E o T | E Q E : E\nT: i | ( E )", {"Q": "?"}), "E", "io(?:"), (GRAMMARS["c"][0], "STMT", "iP:Ca")]
+    for g, start, signs in cases:
+        around = Automaton(g.rules, start)
+        for s in map("".join, itertools.islice(itertools.product(signs, repeat=5), 0, None, 41)):
+            if g.stops_at(start, s) is not None:
+                least, floors = over_spans(g.rules, start, s)[0], g._floors(around, s)
+                cost, edits = g._correct(start, s, least, floors)
+                assert cost == len(edits) == least and g._correct(start, s, least - 1, floors) is None, s
